@@ -6,9 +6,10 @@ from .op1_hilbert import op1_hilbert_shards
 from .op2_boundary_bpe import op2_boundary_bpe
 from .op7_packing import op7_packing
 from .op8_windows import op8_windows
+from .op9_jaccard import op9_jaccard
 from .op10_toxicity import op10_toxicity
 
-ALL = [op1_hilbert_shards, op2_boundary_bpe, op7_packing, op8_windows, op10_toxicity]
+ALL = [op1_hilbert_shards, op2_boundary_bpe, op7_packing, op8_windows, op9_jaccard, op10_toxicity]
 
 
 def queries():
