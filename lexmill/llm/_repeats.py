@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import mix64, stored
+from ._hashes import Bitmap
+
 #: Slices of the bitmap. Its size follows the number of hashes, between these powers of two (128 kB and 32 MB).
 SLICE_BITS = 8
 LEAST_BITS, MOST_BITS = 20, 28
@@ -43,3 +48,29 @@ def bitmap(hashes: DataFrame, bits: int) -> Broadcast:
         at = row["slice"] << (own - 3)
         data[at : at + len(row["data"])] = row["data"]
     return spark.sparkContext.broadcast(bytes(data))
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64, copy=False).view(np.int64)
+
+
+def hashed_ids(ids: DataFrame, column: str) -> DataFrame:
+    """A ``hash`` column of ids, for a bitmap of them."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            yield pd.DataFrame({"hash": signed(mix64(b[column].to_numpy().view(np.uint64)))})
+
+    return ids.select(column).mapInPandas(run, "hash long")
+
+
+def has_ids(known: Bitmap, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in a bitmap of hashed ids."""
+    return known.has(mix64(ids.view(np.uint64)))
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and ``first``, the smallest doc_id with an equal text, of every row with a text; stored."""
+    rows = docs.where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return stored(rows.join(first, "digest").select("doc_id", "first"), "copies")

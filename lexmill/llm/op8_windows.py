@@ -7,7 +7,8 @@
    are counted by document; those in two documents or more go into a bitmap.
 2. The windows that pass it are counted by their own hash: the smallest document
    with each. Both counts are partial sums before any shuffle, so a passage in a
-   third of all documents sends one row from each task.
+   third of all documents sends one row from each task. Of equal texts only the
+   first takes part; all windows of the others start in it.
 3. A window with a smaller document marks its words; marked windows merge into
    maximal intervals, and each text is cut by its intervals.
 
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, utf8
+from ._common import release, stored, table, utf8
 from ._hashes import Bitmap, Words, batches, window_minima, windows
-from ._repeats import bitmap, bitmap_bits
+from ._repeats import bitmap, bitmap_bits, first_copies, has_ids, hashed_ids, signed
 
 WINDOW, RUN = 13, 5
 
@@ -55,36 +56,54 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id and the array of first words ``at`` of its windows that a smaller doc_id has too."""
+    """doc_id, the array of first words ``at`` of its windows that a smaller doc_id has too, and
+    ``copy``: whether its whole text is that of a smaller one, so that all its windows are."""
     spark = docs.sparkSession
-
-    def emit_runs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    copies = first_copies(docs)
+    firsts = copies.where("doc_id = first")
+    id_bits = bitmap_bits(firsts.count())
+    first_ids = bitmap(hashed_ids(firsts, "doc_id"), id_bits)
+
+    def batches_of(it: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, Words]]:
+        """The words of the first copies; that a few later ones may be among them changes nothing."""
+        known = Bitmap(id_bits, first_ids.value)
         for b in it:
+            b = b[has_ids(known, b["doc_id"].to_numpy())]
             ids = b["doc_id"].to_numpy()
             for first, texts in batches([utf8(t) for t in b["text"]]):
-                _, of, least, _ = runs_and_windows(Words(texts), window, run)
-                of, least = distinct_pairs(of, least)
-                yield pd.DataFrame({"hash": least.view(np.int64), "doc_id": ids[first + of]})
+                yield ids[first:], Words(texts)
+
+    def emit_runs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, w in batches_of(it):
+            _, of, least, _ = runs_and_windows(w, window, run)
+            of, least = distinct_pairs(of, least)
+            yield pd.DataFrame({"hash": signed(least), "doc_id": ids[of]})
 
     found = docs.mapInPandas(emit_runs, "hash long, doc_id long")
     shared = found.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     bits = bitmap_bits(docs.count() * 64)
     seen = bitmap(shared, bits)
+    del found, shared
+    release(spark)
 
     def emit_windows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Bitmap(bits, seen.value)
-        for b in it:
-            ids = b["doc_id"].to_numpy()
-            for first, texts in batches([utf8(t) for t in b["text"]]):
-                at, of, least, h = runs_and_windows(w := Words(texts), window, run)
-                keep = known.has(least)
-                at, of, h = at[keep], of[keep], h[keep]
-                yield pd.DataFrame({"hash": h.view(np.int64), "doc_id": ids[first + of], "at": (at - w.first[of]).astype(np.int32)})
+        for ids, w in batches_of(it):
+            at, of, least, h = runs_and_windows(w, window, run)
+            keep = known.has(least)
+            at, of, h = at[keep], of[keep], h[keep]
+            yield pd.DataFrame({"hash": signed(h), "doc_id": ids[of], "at": (at - w.first[of]).astype(np.int32)})
 
     candidates = docs.mapInPandas(emit_windows, "hash long, doc_id long, at int")
     least = candidates.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     hits = candidates.join(least.select("hash", "least"), "hash").where("least < doc_id")
-    return hits.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.lit(False).alias("copy"))
+    later = copies.where("first < doc_id").select("doc_id", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("copy")).distinct()
+    out = hits.unionByName(later).groupBy("doc_id").agg(F.max_by("at", F.size("at")).alias("at"), F.max("copy").alias("copy"))
+    out = stored(out, "op8")
+    del candidates, least, hits
+    release(spark)
+    return out
 
 
 def intervals(at: np.ndarray, length: int) -> np.ndarray:
@@ -98,15 +117,15 @@ def intervals(at: np.ndarray, length: int) -> np.ndarray:
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every row with the array ``at`` of its repeated windows (null: none)."""
+    """Every row with ``at`` and ``copy`` (null: nothing repeated)."""
     docs = texts_of(docs)
     return docs.join(repeated_windows(docs, window), "doc_id", "left")
 
 
-def kept_words(text: bytes, at, window: int) -> tuple[int, int, bytes]:
+def kept_words(text: bytes, at, copy: bool, window: int) -> tuple[int, int, bytes]:
     """Number of words, of removed words, and the kept words joined by spaces."""
     words = text.split()  # of bytes, this splits at exactly the six ASCII white-space characters
-    keep = np.ones(len(words), bool)
+    keep = np.full(len(words), not copy or len(words) < window)
     if at is not None:
         for a, b in intervals(np.asarray(at), window):
             keep[a:b] = False
@@ -120,14 +139,14 @@ def window_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             rows = []
-            for text, at in zip(b["text"], b["at"], strict=True):
-                n, removed, kept = kept_words(utf8(text), at, window)
+            for text, at, copy in zip(b["text"], b["at"], b["copy"], strict=True):
+                n, removed, kept = kept_words(utf8(text), at, copy is True, window)
                 rows.append((n, removed, hashlib.sha256(kept).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return removals(docs, window).select("doc_id", "text", "at").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return removals(docs, window).select("doc_id", "text", "at", "copy").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -141,8 +160,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            pairs = zip(b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True)
-            text = [t if at is None or t is None else kept_words(utf8(t), at, window)[2].decode("utf-8", "replace") for t, at in pairs]
+            rows = zip(b.column("text").to_pylist(), b.column("at").to_pylist(), b.column("copy").to_pylist(), strict=True)
+            text = [t if t is None or not (at or copy) else kept_words(utf8(t), at, bool(copy), window)[2].decode("utf-8", "replace") for t, at, copy in rows]
             columns = [pa.array(text, pa.string()) if c == "text" else b.column(c) for c in schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from ._common import mix64, stored, table, utf8
 from ._components import components
 from ._hashes import Bitmap, Words, batches, windows
-from ._repeats import bitmap, bitmap_bits
+from ._repeats import bitmap, bitmap_bits, has_ids, hashed_ids, signed
 
 EXTRA, RARE, TILE = 8, 16, 256
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -93,10 +93,6 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         yield from np.split(x[first], np.cumsum(np.bincount(of[first], minlength=len(some)))[:-1])
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64, copy=False).view(np.int64)
-
-
 def sets_of(docs: DataFrame, words: int, limits: Limits) -> DataFrame:
     """doc_id, n, a 128-bit digest of the set, and its prefix, of every row."""
 
@@ -134,21 +130,13 @@ def whole_sets(docs: DataFrame, words: int, seen, bits: int) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Bitmap(bits, seen.value)
         for b in it:
-            b = b[known.has(mix64(b["doc_id"].to_numpy().view(np.uint64)))]
+            b = b[has_ids(known, b["doc_id"].to_numpy())]
             sets = [*shingle_sets([utf8(t) for t in b["text"]], words)]
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": np.array([len(s) for s in sets], np.int64), "tokens": [s.tobytes() for s in sets]})
 
     return docs.mapInPandas(run, "doc_id long, n long, tokens binary")
 
 
-def hashed_ids(ids: DataFrame, column: str) -> DataFrame:
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            yield pd.DataFrame({"hash": signed(mix64(b[column].to_numpy().view(np.uint64)))})
-
-    return ids.select(column).mapInPandas(run, "hash long")
-
-
 def combinations(sets: DataFrame, limits: Limits) -> DataFrame:
     """Every k consecutive tokens of the extended prefix, hashed; of short sets each token as well."""
     k, short = limits.k, limits.short
