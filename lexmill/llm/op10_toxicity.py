@@ -9,8 +9,8 @@ difference, the sum of the three largest and the share of windows beyond a
 threshold into a score from 0 to 1; it is calibrated on one half of the sample
 with dictionaries trained on the other, so it sees texts new to them.
 
-The classifier is fitted on at most ``MAX_TRAIN`` distinct labelled texts of at
-most ``MAX_CHARS`` characters, drawn by a hash; rows whose crc32(doc_id) mod 5
+The classifier is fitted on the texts of at most ``MAX_TRAIN`` labelled documents,
+of at most ``MAX_CHARS`` characters, drawn by a hash; rows whose crc32(doc_id) mod 5
 is 0 are never used. Every text is scored whole. Inputs are the texts alone.
 
 A null or empty text has no windows and gets the score of differences of 0.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._common import held_out_column, table
 
-MAX_TRAIN, MAX_CHARS = 8_000, 50_000
+MAX_TRAIN, MAX_CHARS = 6_000, 50_000
 WORDS, STEP, LEVEL = 8, 4, 9
 #: Words both dictionaries share; significance (in standard deviations) of own words; most of these.
 COMMON, SIGNIFICANT, MOST_OWN = 1500, 5.0, 1500
@@ -116,11 +116,20 @@ def fit(sample: list[tuple[str, int]]) -> tuple[bytes, bytes, list[float]] | Non
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most MAX_TRAIN distinct texts with their labels, in the order of a hash."""
-    known = labels.where(~held_out_column() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """The distinct texts, of MAX_CHARS at most, of MAX_TRAIN labelled documents, in the order of a hash.
+
+    The documents are drawn from the narrow table of labels before any text is
+    read; a text with both labels is toxic.
+    """
+    known = labels.where(~held_out_column() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     texts = docs.where(F.length("text").between(1, MAX_CHARS)).select("doc_id", "text")
-    rows = texts.join(known, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(F.xxhash64("doc_id")).alias("h"))
-    return [(r["text"], r["toxic"]) for r in rows.orderBy("h", "text").limit(MAX_TRAIN).collect()]
+    # At most MAX_TRAIN rows of two numbers are broadcast.
+    rows = texts.join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic").collect()
+    out: dict[str, int] = {}
+    for _, text, toxic in sorted(rows):
+        out[text] = max(toxic, out.get(text, 0))
+    return [*out.items()]
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
