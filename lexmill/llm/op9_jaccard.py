@@ -14,10 +14,9 @@ Tokens are hashes of word shingles; their global order is that of the hashes.
    h is the most by which two linked sets can differ, and every combination of k
    consecutive tokens in it is indexed: at most h tokens of either set break the
    shared tokens into h + 1 runs, one of which must be k long. Sets that
-   share a combination, directly or over others, form a block (connected
-   components over a star for each combination; no pairs are made).
-5. Candidate pairs, and all pairs of a block, tile against tile, are verified on
-   the whole sets. A tile task returns a spanning forest of the links it found.
+   share a combination meet over a star for each combination: no pairs are made.
+5. What candidate pairs and stars connect is a block. Its sets are compared whole,
+   tile against tile; a tile task returns a spanning forest of the links it found.
 6. Components of the links are the result.
 
 Pairs are made only of at most ``RARE`` sets at a time; a block of m sets is
@@ -40,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix64, stored, table, utf8
+from ._common import mix64, release, stored, table, utf8
 from ._components import components
 from ._hashes import Bitmap, Words, batches, windows
 from ._repeats import bitmap, bitmap_bits, has_ids, hashed_ids, signed
@@ -202,20 +201,21 @@ def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def tile_links(blocks: DataFrame, percent: int) -> DataFrame:
+def tile_links(whole: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links among the sets of each block, compared tile with tile; a spanning forest of each tile pair.
 
-    ``blocks`` has block, doc_id, n, tokens. Every set goes to the pairs of its own
-    tile with each tile of the block.
+    ``members``: doc_id, block; ``whole``: doc_id, tokens. Every set goes to the
+    pairs of its own tile with each tile of the block. Blocks, tiles and task groups
+    are settled on the narrow table before any set is moved.
     """
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("m")).where("m > 1")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    t = (
-        blocks.join(sizes, "block")
-        .withColumn("tiles", tiles)
+    sizes = members.groupBy("block").agg(F.count("*").alias("m")).where("m > 1")
+    narrow = stored(
+        members.join(sizes, "block")
+        .withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
         .withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("block", "doc_id", "tokens", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+        .select("block", "doc_id", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")),
+        "tiles",
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -237,8 +237,9 @@ def tile_links(blocks: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     # Many tile pairs share a task group; their number follows the rows.
-    n = max(1, -(-t.count() // (8 * TILE)))
-    return t.withColumn("g", F.pmod(F.xxhash64("block", "i", "j"), F.lit(n))).groupBy("g").applyInPandas(run, "a long, b long")
+    n = max(1, -(-narrow.count() // (4 * TILE)))
+    t = narrow.withColumn("g", F.pmod(F.xxhash64("block", "i", "j"), F.lit(n))).join(whole.select("doc_id", "tokens"), "doc_id")
+    return t.groupBy("g").applyInPandas(run, "a long, b long")
 
 
 def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
@@ -246,12 +247,13 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
 
     ``sets``: doc_id, n, prefix of the representatives, stored.
     """
-    limits = Limits(percent)
+    limits, spark = Limits(percent), sets.sparkSession
     total = sets.count()
     bits = bitmap_bits(total * 16)
     counts = stored(tokens_of(sets).groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"), "df")
     tokens = tokens_of(sets, bitmap(counts, bits), bits).join(counts, "hash")
     tokens = stored(tokens.select("hash", "doc_id", "n", "df"), "tokens")
+    release(spark)
     ceil_t = F.ceil(F.col("n") * F.lit(percent) / 100)
     per_doc = tokens.where(F.col("df") > RARE).groupBy("doc_id", "n").agg(F.count("*").alias("frequent"))
 
@@ -277,6 +279,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
         .select("a", "b")
     )
     pairs = stored(pairs, "pairs")
+    release(spark)
     # A partner may be smaller, down to t n, and need fewer.
     hot = stored(per_doc.where(F.col("frequent") >= shared(ceil_t)).select("doc_id"), "hot")
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(hot)
@@ -285,24 +288,11 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
     sigs = combinations(whole.join(hot, "doc_id", "left_semi"), limits)
     star = sigs.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1")
     edges = sigs.join(star, "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    members = components(edges)
-    members = members.union(members.select("component", "component").distinct())
-    blocks = whole.join(members.withColumnsRenamed({"node": "doc_id", "component": "block"}), "doc_id")
-    in_blocks = tile_links(stored(blocks, "blocks"), percent)
-
-    left = whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    right = whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-
-    def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            ok = []
-            for x, y in zip(b["ta"], b["tb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * o >= percent * (len(x) + len(y) - o))
-            yield b.loc[np.array(ok, bool), ["a", "b"]]
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long").unionByName(in_blocks)
+    # Candidate pairs and stars together: what they connect is compared whole.
+    found = components(edges.union(pairs))
+    release(spark)
+    members = found.union(found.select("component", "component").distinct()).toDF("doc_id", "block")
+    return tile_links(whole, members, percent)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -311,6 +301,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     sets = stored(sets_of(docs, words, Limits(percent)), "sets")
     classes = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = stored(sets.where("n > 0").join(classes, ["n", "d1", "d2"]).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "prefix"), "reps")
+    release(docs.sparkSession)
     found = components(links(docs, reps, words, percent)).withColumnsRenamed({"node": "rep", "component": "root"})
     # A root is the least representative of its component, and so the least document.
     of_class = classes.join(found, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("component_id"))
