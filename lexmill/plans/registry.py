@@ -22,9 +22,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from . import corpus_queries, relational_queries, search_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
