@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op1_hilbert import op1_hilbert_shards
 from .op2_boundary_bpe import op2_boundary_bpe
+from .op3_suffix import op3_suffix_dedup
 from .op4_pigeonhole import op4_pigeonhole
 from .op5_urls import op5_url_filter
 from .op6_topk import op6_block_topk
@@ -12,7 +13,7 @@ from .op8_windows import op8_windows
 from .op9_jaccard import op9_jaccard
 from .op10_toxicity import op10_toxicity
 
-ALL = [op1_hilbert_shards, op2_boundary_bpe, op4_pigeonhole, op5_url_filter, op6_block_topk, op7_packing, op8_windows, op9_jaccard, op10_toxicity]
+ALL = [op1_hilbert_shards, op2_boundary_bpe, op3_suffix_dedup, op4_pigeonhole, op5_url_filter, op6_block_topk, op7_packing, op8_windows, op9_jaccard, op10_toxicity]
 
 
 def queries():
