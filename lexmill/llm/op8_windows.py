@@ -160,13 +160,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = zip(b.column("text").to_pylist(), b.column("at").to_pylist(), b.column("copy").to_pylist(), strict=True)
+            own = dict(zip(schema.names, b.column("row").flatten(), strict=True))
+            rows = zip(own["text"].to_pylist(), b.column("at").to_pylist(), b.column("copy").to_pylist(), strict=True)
             text = [t if t is None or not (at or copy) else kept_words(utf8(t), at, bool(copy), window)[2].decode("utf-8", "replace") for t, at, copy in rows]
-            columns = [pa.array(text, pa.string()) if c == "text" else b.column(c) for c in schema.names]
+            columns = [pa.array(text, pa.string()) if c == "text" else own[c] for c in schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     at = repeated_windows(texts_of(docs), window)
-    joined = docs.join(at.withColumnRenamed("doc_id", "at_doc"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col("at_doc"), "left").drop("at_doc")
+    # The row as one struct: its columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(at, F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-1)) == F.col("doc_id"), "left").select("row", "at", "copy")
     out = joined.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(schema["n_chars"].dataType))

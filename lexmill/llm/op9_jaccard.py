@@ -311,8 +311,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group."""
-    keep = jaccard_components(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col("keep_id"), "left_semi")
+    keep = jaccard_components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
+    # The row as one struct: its columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(keep, F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-1)) == F.col("doc_id"), "left_semi").select("row.*")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
