@@ -63,7 +63,7 @@ def raw_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     body = F.when(F.substring(F.hex("content"), 1, 6) == "EFBBBF", F.expr("substring(content, 4)")).otherwise(F.col("content"))
     raw = raw.withColumn("body", body)
     valid = F.is_valid_utf8(F.col("body").cast("string"))
-    text = F.when(valid, F.col("body").cast("string")).otherwise(F.decode("body", F.lit("ISO-8859-1")))
+    text = F.when(valid, F.col("body").cast("string")).otherwise(F.decode("body", "ISO-8859-1"))
     return raw.select("path", source_id(F.col("content")).alias("source_id"), "length", text.alias("text"), F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
 
 
