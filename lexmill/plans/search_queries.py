@@ -168,3 +168,16 @@ def explain_score(spark, d):
     own = docs(spark, d, "doc_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("term"))
     hits = own.join(terms, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
     return hits.groupBy("item_id").agg(F.count("*").alias("docs"), F.max("hits").cast("int").alias("most_terms"), F.round(F.max(F.col("hits") / F.col("n")), 2).alias("best_share"))
+
+
+@query("full_search")
+def full_search(spark, d):
+    """Every benchmark item as a query against all documents, with hashed vectors, routing by collection and reranking."""
+    from ..operators.embedding import embedded
+    from .search_api import search
+
+    items = spark.read.parquet(f"{d}/benchmark.parquet").withColumnRenamed("item_id", "query_id")
+    q = items.select("query_id", "text", F.lit("general").alias("agent")).join(embedded(items, "query_id", "text").withColumnRenamed("vector", "qv"), "query_id")
+    own = docs(spark, d, F.col("doc_id").alias("id"), "doc_id", F.lit(0).alias("page"), S.collection_of(F.col("doc_id")).alias("collection"), F.col("text").alias("content"))
+    index = own.join(embedded(own, "id", "content").withColumnRenamed("vector", "v"), "id")
+    return search(q, index, 8).select("query_id", "place", "id", "collection", "matched_terms", "match_share", "doc_words")
