@@ -173,11 +173,15 @@ def explain_score(spark, d):
 @query("full_search")
 def full_search(spark, d):
     """Every benchmark item as a query against all documents, with hashed vectors, routing by collection and reranking."""
-    from ..operators.embedding import embedded
+    from functools import partial
+
+    from ..operators.embedding import embedded, hashed_model
     from .search_api import search
 
+    model = partial(hashed_model, 64)
+
     items = spark.read.parquet(f"{d}/benchmark.parquet").withColumnRenamed("item_id", "query_id")
-    q = items.select("query_id", "text", F.lit("general").alias("agent")).join(embedded(items, "query_id", "text").withColumnRenamed("vector", "qv"), "query_id")
+    q = items.select("query_id", "text", F.lit("general").alias("agent")).join(embedded(items, "query_id", "text", model).withColumnRenamed("vector", "qv"), "query_id")
     own = docs(spark, d, F.col("doc_id").alias("id"), "doc_id", F.lit(0).alias("page"), S.collection_of(F.col("doc_id")).alias("collection"), F.col("text").alias("content"))
-    index = own.join(embedded(own, "id", "content").withColumnRenamed("vector", "v"), "id")
+    index = own.join(embedded(own, "id", "content", model).withColumnRenamed("vector", "v"), "id")
     return search(q, index, 8).select("query_id", "place", "id", "collection", "matched_terms", "match_share", "doc_words")
