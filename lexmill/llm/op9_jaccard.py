@@ -4,8 +4,8 @@ Tokens are hashes of word shingles; their global order is that of the hashes.
 
 1. Equal sets are one class with its smallest document as representative.
 2. A set of n tokens may lack at most ``miss = n - ceil(t n)`` of them in a
-   partner. Its prefix is its first ``miss + EXTRA`` tokens, so that two linked
-   sets share at least ``EXTRA`` prefix tokens (all they can, if shorter). Tokens in
+   partner. Its prefix is its first ``miss + extra`` tokens, so that two linked
+   sets share at least ``extra`` prefix tokens (all they can, if shorter). Tokens in
    two to ``RARE`` prefixes are rare, those in more are frequent.
 3. Rare tokens are indexed on their own. A pair that shares some is a candidate if
    the rare tokens it shares and the frequent ones it may share can reach that number.
@@ -44,7 +44,7 @@ from ._components import components
 from ._hashes import Bitmap, Words, batches, windows
 from ._repeats import bitmap, bitmap_bits, has_ids, hashed_ids, signed
 
-EXTRA, RARE, TILE = 8, 16, 256
+EXTRA, RARE, TILE = 16, 32, 512
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -52,7 +52,7 @@ class Limits:
     """The numbers that follow from the threshold, exact as fractions."""
 
     def __init__(self, percent: int) -> None:
-        self.t = Fraction(percent, 100)
+        self.t, self.percent = Fraction(percent, 100), percent
         self.k = max(1, min(4, int(Fraction(9, 10) * self.t / (1 - self.t))))
         sizes = range(1, 200)
         short = [n for n in sizes if self.differ(n) >= 1 and self.k * (self.differ(n) + 1) > n]
@@ -66,8 +66,12 @@ class Limits:
         """Most tokens that are in just one of two linked sets, one of which has n."""
         return math.floor((1 - self.t) * n / self.t)
 
+    def extra(self, n: int) -> int:
+        """By how many tokens the prefix is longer than what may be missing: in proportion, for long sets."""
+        return max(EXTRA, self.miss(n) * min(10, 100 - self.percent) // max(1, 100 - self.percent))
+
     def prefix(self, n: int) -> int:
-        return min(n, self.miss(n) + EXTRA)
+        return min(n, self.miss(n) + self.extra(n))
 
     def shared(self, n: int) -> int:
         """Least number of prefix tokens that a linked partner shares."""
@@ -249,7 +253,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
     """
     limits, spark = Limits(percent), sets.sparkSession
     total = sets.count()
-    bits = bitmap_bits(total * 16)
+    bits = bitmap_bits(total * 32)
     counts = stored(tokens_of(sets).groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"), "df")
     tokens = tokens_of(sets, bitmap(counts, bits), bits).join(counts, "hash")
     tokens = stored(tokens.select("hash", "doc_id", "n", "df"), "tokens")
@@ -259,7 +263,9 @@ def links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFra
 
     def shared(n):
         """Limits.shared as a column: exact, as n * percent is far below 2**53."""
-        return F.least(F.ceil(n * F.lit(percent) / 100), F.lit(EXTRA).cast("long"))
+        least = F.ceil(n * F.lit(percent) / 100)
+        extra = F.floor((n - least) * min(10, 100 - percent) / max(1, 100 - percent))
+        return F.least(least, F.greatest(extra, F.lit(EXTRA).cast("long")))
 
     rare = tokens.where(F.col("df") <= RARE).join(per_doc.select("doc_id", "frequent"), "doc_id", "left").fillna(0, ["frequent"])
     # One row for each rare token: at most RARE sets have it.
