@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import mix64, release, stored, table, utf8
-from ._hashes import BYTES, Bitmap, batches, grams, powers
+from ._hashes import BYTES, Bitmap, batches, grams, powers, window_minima
 from ._repeats import bitmap, bitmap_bits, has_ids, hashed_ids, signed
 
 LENGTH, GRAM = 200, 64
@@ -46,19 +46,12 @@ SORTED_BYTES = 1_500_000
 
 
 def leftmost_minima(x: np.ndarray, w: int) -> np.ndarray:
-    """The position of the least of every w consecutive values, the leftmost of equals."""
-    n, have = len(x) - w + 1, 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    at = np.arange(len(x))
-
-    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where((x[b] < x[a]) | ((x[b] == x[a]) & (b < a)), b, a)
-
-    while 2 * have <= w:
-        at = better(at[:-have], at[have:])
-        have *= 2
-    return better(at[:n], at[w - have : w - have + n])
+    """The position of the least upper half of every w consecutive values, the leftmost of equals.
+
+    The position stands in the lower half, so that one minimum gives both.
+    """
+    low = np.uint64(32)
+    return (window_minima(x >> low << low | np.arange(len(x), dtype=np.uint64), w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Contexts:
