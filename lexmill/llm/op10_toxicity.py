@@ -109,10 +109,12 @@ def fit(sample: list[tuple[str, int]]) -> tuple[bytes, bytes, list[float]] | Non
     kinds = [[[t for t, y in h if y == k] for k in (0, 1)] for h in halves]
     if not all(all(k) for k in kinds):
         return None
-    d = Distance(*train(kinds[0][1], kinds[0][0]))
+    # The dictionaries that were calibrated are the ones that score: larger ones would save more on any text.
+    contents = train(kinds[0][1], kinds[0][0])
+    d = Distance(*contents)
     x = np.array([d.features(t) for t, _ in halves[1]])
     w = logistic(x, np.array([y for _, y in halves[1]], float))
-    return *train(kinds[0][1] + kinds[1][1], kinds[0][0] + kinds[1][0]), w.tolist()
+    return *contents, w.tolist()
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
