@@ -4,16 +4,19 @@ Both dictionaries share the commonest words of ordinary text. The toxic one also
 holds the words whose document frequency is significantly higher in toxic texts,
 the ordinary one as many of those that are significantly lower. Every window of
 eight words (half overlapping) is compressed with each; what the toxic dictionary
-saves, in bytes, is the window's difference. A logistic model turns the largest
-difference, the sum of the three largest and the share of windows beyond a
-threshold into a score from 0 to 1; it is calibrated on one half of the sample
-with dictionaries trained on the other, so it sees texts new to them.
-
-The classifier is fitted on the texts of at most ``MAX_TRAIN`` labelled documents,
-of at most ``MAX_CHARS`` characters, drawn by a hash; rows whose crc32(doc_id) mod 5
-is 0 are never used. Every text is scored whole. Inputs are the texts alone.
-
-A null or empty text has no windows and gets the score of differences of 0.
+saves, in bytes, is the window's difference. The features are the shares of a
+text's windows whose difference is beyond each of three thresholds, drawn to the
+shares of ordinary texts as if ``PRIOR`` of their windows were added. Shares do
+not rise with the length of a text, as its largest differences do. A logistic
+model turns their logarithms into a score from 0 to 1; it is calibrated on one
+half of the sample with dictionaries trained on the other, so it sees texts new
+to them.
+
+The classifier is fitted on the texts, of any length, of at most ``MAX_TRAIN``
+labelled documents drawn by a hash; rows whose crc32(doc_id) mod 5 is 0 are never
+used. Every text is scored whole. Inputs are the texts alone.
+
+A null or empty text has no windows and gets the score of ordinary shares.
 Without labelled rows of both kinds every score is 0. Repeated rows give repeated
 results; an empty table gives none.
 """
@@ -33,11 +36,12 @@ from pyspark.sql import functions as F
 
 from ._common import held_out_column, table
 
-MAX_TRAIN, MAX_CHARS = 6_000, 50_000
+MAX_TRAIN = 6_000
 WORDS, STEP, LEVEL = 8, 4, 9
 #: Words both dictionaries share; significance (in standard deviations) of own words; most of these.
 COMMON, SIGNIFICANT, MOST_OWN = 1500, 5.0, 1500
-BEYOND = 3
+#: Differences whose shares count; windows of ordinary text added to each; least share told apart.
+BEYOND, PRIOR, LEAST_SHARE = (2, 4, 6), 5, 1e-3
 
 
 def word_counts(texts: list[str]) -> Counter:
@@ -72,21 +76,29 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 class Distance:
-    """The features of a text under two dictionaries."""
+    """The differences of a text under two dictionaries."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
         self.ordinary, self.toxic = compressor(ordinary), compressor(toxic)
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def counts(self, text: str | None) -> tuple[int, ...]:
+        """How many windows there are, and how many beyond each threshold."""
         w = (text or "").split()
         saved = []
         for i in range(0, max(1, len(w) - WORDS + STEP) if w else 0, STEP):
             x = (" " + " ".join(w[i : i + WORDS]) + " ").encode("utf-8", "replace")
             saved.append(len(self.ordinary.compress(x)) - len(self.toxic.compress(x)))
-        if not saved:
-            return 0.0, 0.0, 0.0
-        top = sorted(saved, reverse=True)[:3]
-        return float(top[0]), float(sum(top)), sum(s >= BEYOND for s in saved) / len(saved)
+        return len(saved), *(sum(s >= least for s in saved) for least in BEYOND)
+
+
+def base_shares(counts: np.ndarray) -> np.ndarray:
+    """Shares of all windows of ordinary texts beyond each threshold."""
+    total = counts.sum(axis=0)
+    return total[1:] / max(1, total[0])
+
+
+def features(counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    return np.log((counts[:, 1:] + PRIOR * base) / (counts[:, :1] + PRIOR) + LEAST_SHARE)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -103,8 +115,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(sample: list[tuple[str, int]]) -> tuple[bytes, bytes, list[float]] | None:
-    """Dictionaries and weights; None without texts of both kinds in either half."""
+def fit(sample: list[tuple[str, int]]) -> tuple[bytes, bytes, list[float], list[float]] | None:
+    """Dictionaries, ordinary shares and weights; None without texts of both kinds in either half."""
     halves = [sample[0::2], sample[1::2]]
     kinds = [[[t for t, y in h if y == k] for k in (0, 1)] for h in halves]
     if not all(all(k) for k in kinds):
@@ -112,20 +124,20 @@ def fit(sample: list[tuple[str, int]]) -> tuple[bytes, bytes, list[float]] | Non
     # The dictionaries that were calibrated are the ones that score: larger ones would save more on any text.
     contents = train(kinds[0][1], kinds[0][0])
     d = Distance(*contents)
-    x = np.array([d.features(t) for t, _ in halves[1]])
-    w = logistic(x, np.array([y for _, y in halves[1]], float))
-    return *contents, w.tolist()
+    x, y = np.array([d.counts(t) for t, _ in halves[1]], float), np.array([y for _, y in halves[1]], float)
+    base = base_shares(x[y == 0])
+    return *contents, base.tolist(), logistic(features(x, base), y).tolist()
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The distinct texts, of MAX_CHARS at most, of MAX_TRAIN labelled documents, in the order of a hash.
+    """The distinct texts of MAX_TRAIN labelled documents, in the order of a hash.
 
     The documents are drawn from the narrow table of labels before any text is
     read; a text with both labels is toxic.
     """
     known = labels.where(~held_out_column() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    texts = docs.where(F.length("text").between(1, MAX_CHARS)).select("doc_id", "text")
+    texts = docs.where(F.length("text") >= 1).select("doc_id", "text")
     # At most MAX_TRAIN rows of two numbers are broadcast.
     rows = texts.join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic").collect()
     out: dict[str, int] = {}
@@ -141,8 +153,8 @@ def scorer(docs: DataFrame, labels: DataFrame):
     def scores(texts: list[str | None]) -> list[float]:
         if model is None:
             return [0.0] * len(texts)
-        d, w = Distance(*model[:2]), np.array(model[2])
-        x = np.array([d.features(t) for t in texts]).reshape(-1, 3)
+        d, base, w = Distance(*model[:2]), np.array(model[2]), np.array(model[3])
+        x = features(np.array([d.counts(t) for t in texts], float).reshape(-1, 1 + len(BEYOND)), base)
         return (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))).tolist()
 
     return scores

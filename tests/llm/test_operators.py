@@ -321,3 +321,21 @@ def test_toxicity(spark, none):
     unlabelled = op10_toxicity.toxicity(docs, lab.where("doc_id < 0")).collect()
     assert {r["score"] for r in unlabelled} == {0.0}
     assert op10_toxicity.toxicity(none, lab).collect() == []
+
+
+def test_toxicity_of_long_texts(spark):
+    rng = random.Random(17)
+    bad = ["idiot", "scum", "loser"]
+
+    def text(n, every):
+        w = prose(rng, n).split()
+        for i in range(every // 2, n, every):
+            w[i] = rng.choice(bad)
+        return " ".join(w)
+
+    rows = [(i, text(120, 20 if i % 4 == 0 else 60 if i % 40 == 1 else 1000)) for i in range(600)]
+    rows += [(1000, text(20_000, 2_400)), (1001, text(20_000, 20)), (1002, text(20_000, 10**6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = by_doc(op10_toxicity.toxicity(docs, lab))
+    assert [got[i]["predicted"] for i in (1000, 1001, 1002)] == [0, 1, 0]
