@@ -1,20 +1,25 @@
 """Toxicity by compression distance: two zstandard dictionaries and calibrated windows.
 
 Both dictionaries share the commonest words of ordinary text. The toxic one also
-holds the words whose document frequency is significantly higher in toxic texts,
-the ordinary one as many of those that are significantly lower. Every window of
+holds the words that are in significantly more toxic texts than their texts'
+lengths let expect, the ordinary one as many of those in significantly fewer.
+All labelled texts are counted, in Spark. Every window of
 eight words (half overlapping) is compressed with each; what the toxic dictionary
 saves, in bytes, is the window's difference. The features are the shares of a
 text's windows whose difference is beyond each of three thresholds, drawn to the
 shares of ordinary texts as if ``PRIOR`` of their windows were added. Shares do
 not rise with the length of a text, as its largest differences do. A logistic
-model turns their logarithms into a score from 0 to 1; it is calibrated on one
-half of the sample with dictionaries trained on the other, so it sees texts new
-to them.
-
-The classifier is fitted on the texts, of any length, of at most ``MAX_TRAIN``
-labelled documents drawn by a hash; rows whose crc32(doc_id) mod 5 is 0 are never
-used. Every text is scored whole. Inputs are the texts alone.
+model turns their logarithms into a score from 0 to 1. It is calibrated by
+cross-fitting: the texts of each of ``FOLDS`` folds are measured with dictionaries
+of the others, and so are new to them. A score of 0.5 is not a probability but the
+point where most toxic texts of these folds are at or above it while at most
+``CLEAN_LOSS`` of the ordinary ones are.
+
+The dictionaries learn from every distinct labelled text, of any length, except
+rows whose crc32(doc_id) mod 5 is 0, which are never used; a text with both labels
+is toxic, and one repeated in one doc_id counts as often as it is repeated. The
+four weights are fitted on at most ``MAX_TRAIN`` of these texts, drawn by a hash.
+Every text is scored whole. Inputs are the texts alone.
 
 A null or empty text has no windows and gets the score of ordinary shares.
 Without labelled rows of both kinds every score is 0. Repeated rows give repeated
@@ -23,8 +28,6 @@ results; an empty table gives none.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,39 +37,81 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out_column, table
+from ._common import held_out_column, release, stored, table
+from ._hashes import Bitmap
+from ._repeats import bitmap, bitmap_bits, has_ids, hashed_ids
 
-MAX_TRAIN = 6_000
+MAX_TRAIN, FOLDS, CLEAN_LOSS = 6_000, 4, 0.03
 WORDS, STEP, LEVEL = 8, 4, 9
-#: Words both dictionaries share; significance (in standard deviations) of own words; most of these.
-COMMON, SIGNIFICANT, MOST_OWN = 1500, 5.0, 1500
+#: Words both dictionaries share; significance (in standard deviations) of own words, toxic and ordinary; most of these.
+COMMON, SIGNIFICANT, SELDOM, MOST_OWN = 1500, 3.0, -1.5, 1500
+#: Texts a word must be in; in fewer it is never significant.
+LEAST_TEXTS = 4
 #: Differences whose shares count; windows of ordinary text added to each; least share told apart.
 BEYOND, PRIOR, LEAST_SHARE = (2, 4, 6), 5, 1e-3
 
 
-def word_counts(texts: list[str]) -> Counter:
-    """In how many of the texts each word is."""
-    out: Counter = Counter()
-    for t in texts:
-        out.update(set(t.split()))
-    return out
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, h, toxic and stratum (of length) of every distinct labelled text: one row each, without the text."""
+    known = labels.where(~held_out_column() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.where(F.length("text") >= 1).select("doc_id", F.xxhash64("text").alias("h"), F.floor(F.log2(F.length("text"))).cast("int").alias("stratum"))
+    distinct = texts.join(known.hint("merge"), "doc_id").groupBy("h").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.max("toxic").alias("toxic"), F.min("stratum").alias("stratum"))
+    return stored(distinct, "op10t")
+
+
+def with_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen`` with the texts; only rows whose doc_id a bitmap has are shuffled."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    bits = bitmap_bits(chosen.count())
+    ids = bitmap(hashed_ids(chosen, "doc_id"), bits)
+
+    def known(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bitmap(bits, ids.value)
+        for b in it:
+            yield b.filter(pa.array(has_ids(own, b.column("doc_id").to_numpy(zero_copy_only=False))))
+
+    texts = texts.mapInArrow(known, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    # The same join at every size.
+    return texts.join(chosen.hint("merge"), ["doc_id", "h"])
+
+
+def fold() -> F.Column:
+    return F.pmod(F.col("h"), F.lit(FOLDS))
+
+
+def word_counts(docs: DataFrame, chosen: DataFrame, rates: dict[int, float]) -> DataFrame:
+    """Of each word: ``n`` ordinary texts with it, and for every fold its significance ``z`` in the other folds (the last: in all).
 
+    The significance is that of the number of toxic texts with the word against
+    what the toxic shares of texts of their lengths let expect.
+    """
+    expected = F.element_at(F.create_map(*[F.lit(x) for r in rates.items() for x in r]), F.col("stratum"))
+    rows = with_text(docs, chosen).select(fold().alias("fold"), "toxic", expected.alias("e"), F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
+    sums = [F.sum(F.when(F.col("fold") == k, x)).alias(f"{c}{k}") for k in range(FOLDS) for c, x in (("d", F.col("toxic") - F.col("e")), ("v", F.col("e") * (1 - F.col("e"))))]
+    counts = rows.where("word <> ''").groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("n"), F.count("*").alias("texts"), *sums).where(F.col("texts") >= LEAST_TEXTS)
+
+    def z(left_out: int):
+        d, v = (sum((F.coalesce(f"{c}{k}", F.lit(0.0)) for k in range(FOLDS) if k != left_out), F.lit(0.0)) for c in "dv")
+        # Rounded, so that the order of the sums does not matter.
+        return F.round(d / F.sqrt(v + 1), 6).alias(f"z{left_out}")
+
+    return stored(counts.select("word", "n", *[z(k) for k in range(FOLDS + 1)]), "op10w")
 
-def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and of the toxic dictionary."""
-    a, b, na, nb = word_counts(toxic), word_counts(ordinary), len(toxic), len(ordinary)
 
-    def significance(w: str) -> float:
-        p = (a[w] + b[w] + 1) / (na + nb + 2)
-        return (a[w] / na - b[w] / nb) / math.sqrt(p * (1 - p) * (1 / na + 1 / nb))
+def first_words(words: DataFrame, *order, most: int) -> list[str]:
+    return [r["word"] for r in words.orderBy(*order, "word").limit(most).select("word").collect()]
 
-    scored = sorted((-significance(w), w) for w in a.keys() | b.keys())
-    own = [w for s, w in scored if -s >= SIGNIFICANT][:MOST_OWN]
-    other = [w for s, w in reversed(scored) if -s <= -2][: len(own)]
-    left_out = set(own)
-    common = [w for _, w in sorted((-n, w) for w, n in b.items()) if w not in left_out][:COMMON]
+
+def dictionaries(words: DataFrame, common: list[str], left_out: int, most: int = MOST_OWN) -> tuple[bytes, bytes, int]:
+    """The contents of the ordinary and of the toxic dictionary, and how many words are the toxic one's own."""
+    z = F.col(f"z{left_out}")
+    own = first_words(words.where(z >= SIGNIFICANT), z.desc(), most=most)
+    other = first_words(words.where(z <= SELDOM), z, most=len(own)) if own else []
+    left = set(own)
+    shared = [w for w in common if w not in left][:COMMON]
     # The best words last: near the window, where matches cost least.
-    return tuple((" " + " ".join(common[::-1]) + " " + " ".join(x[::-1]) + " ").encode() for x in (other, own))
+    content = [(" " + " ".join(shared[::-1]) + " " + " ".join(x[::-1]) + " ").encode("utf-8", "replace") for x in (other, own)]
+    return *content, len(own)
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -115,40 +160,54 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(sample: list[tuple[str, int]]) -> tuple[bytes, bytes, list[float], list[float]] | None:
-    """Dictionaries, ordinary shares and weights; None without texts of both kinds in either half."""
-    halves = [sample[0::2], sample[1::2]]
-    kinds = [[[t for t, y in h if y == k] for k in (0, 1)] for h in halves]
-    if not all(all(k) for k in kinds):
+def operating_point(x: np.ndarray, y: np.ndarray) -> float:
+    """Below the least toxic value that at most CLEAN_LOSS of the ordinary values reach, halfway to the next one."""
+    clean = np.sort(x[y == 0])
+    reached = len(clean) - np.searchsorted(clean, x, "left")
+    good = x[(y == 1) & (reached <= CLEAN_LOSS * len(clean))]
+    if not len(good):
+        return float(x.max()) + 1
+    least = good.min()
+    below = x[x < least]
+    return float(least + below.max()) / 2 if len(below) else float(least)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float], list[float]] | None:
+    """Dictionaries, ordinary shares and weights; None without labelled texts of both kinds."""
+    chosen = training_texts(docs, labels)
+    # One row for each power of two.
+    strata = {r["stratum"]: (r["toxic"], r["n"]) for r in chosen.groupBy("stratum").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()}
+    toxic, total = (sum(x) for x in zip(*strata.values(), strict=True)) if strata else (0, 0)
+    if not 0 < toxic < total:
         return None
-    # The dictionaries that were calibrated are the ones that score: larger ones would save more on any text.
-    contents = train(kinds[0][1], kinds[0][0])
-    d = Distance(*contents)
-    x, y = np.array([d.counts(t) for t, _ in halves[1]], float), np.array([y for _, y in halves[1]], float)
-    base = base_shares(x[y == 0])
-    return *contents, base.tolist(), logistic(features(x, base), y).tolist()
-
-
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The distinct texts of MAX_TRAIN labelled documents, in the order of a hash.
+    rates = {k: (t + toxic / total) / (n + 1) for k, (t, n) in strata.items()}
+    words = word_counts(docs, chosen, rates)
+    release(docs.sparkSession)
+    common = first_words(words, F.col("n").desc(), most=COMMON + MOST_OWN)
+    parts = [dictionaries(words, common, k) for k in range(FOLDS)]
+    # No larger than those that are calibrated: larger ones would save more on any text.
+    ordinary, toxic_words, _ = dictionaries(words, common, FOLDS, max(n for _, _, n in parts))
+
+    def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        distances = [Distance(a, b) for a, b, _ in parts]
+        for b in it:
+            counts = [distances[k].counts(t) for k, t in zip(b["fold"], b["text"], strict=True)]
+            yield pd.DataFrame({"h": b["h"], "toxic": b["toxic"], "counts": counts})
 
-    The documents are drawn from the narrow table of labels before any text is
-    read; a text with both labels is toxic.
-    """
-    known = labels.where(~held_out_column() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    texts = docs.where(F.length("text") >= 1).select("doc_id", "text")
-    # At most MAX_TRAIN rows of two numbers are broadcast.
-    rows = texts.join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic").collect()
-    out: dict[str, int] = {}
-    for _, text, toxic in sorted(rows):
-        out[text] = max(toxic, out.get(text, 0))
-    return [*out.items()]
+    drawn = chosen.orderBy("h").limit(MAX_TRAIN)
+    sample = with_text(docs, stored(drawn, "op10s")).select("h", "toxic", fold().cast("int").alias("fold"), "text")
+    rows = sorted((r["h"], r["toxic"], r["counts"]) for r in sample.mapInPandas(measure, "h long, toxic int, counts array<long>").collect())
+    x, y = np.array([c for _, _, c in rows], float), np.array([t for _, t, _ in rows], float)
+    base = base_shares(x[y == 0])
+    x = features(x, base)
+    w = logistic(x, y)
+    w[-1] -= operating_point(x @ w[:-1] + w[-1], y)
+    return ordinary, toxic_words, base.tolist(), w.tolist()
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
     """A function from texts to scores, to run in the executors; the model is a few ten thousand bytes."""
-    model = fit(training_sample(docs, labels))
+    model = fit(docs, labels)
 
     def scores(texts: list[str | None]) -> list[float]:
         if model is None:

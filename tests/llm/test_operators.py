@@ -339,3 +339,28 @@ def test_toxicity_of_long_texts(spark):
     lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
     got = by_doc(op10_toxicity.toxicity(docs, lab))
     assert [got[i]["predicted"] for i in (1000, 1001, 1002)] == [0, 1, 0]
+
+
+def test_toxicity_of_a_rare_language(spark):
+    rng = random.Random(19)
+
+    def text(i):
+        rare = i % 10 == 9
+        w = (prose(rng, 120) if not rare else prose(rng, 120).translate(str.maketrans("aeiou", "äéíöü"))).split()
+        if i % 10 < 3 or rare and i // 10 % 16 < 7:
+            for bad in rng.sample(["canalla", "imbécil", "basura", "escoria"] if rare else ["idiot", "scum", "loser", "moron"], 2):
+                for _ in range(3):
+                    w[rng.randrange(120)] = bad
+        return " ".join(w)
+
+    texts = [text(i) for i in range(800)]
+    bad = [any(x in t.split() for x in ("canalla", "imbécil", "basura", "escoria", "idiot", "scum", "loser", "moron")) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bad)], "doc_id long, toxic int")
+    got = by_doc(op10_toxicity.toxicity(docs, lab))
+    rare = [i for i in got if got[i]["held_out"] and bad[i] and i % 10 == 9]
+    plain = [i for i in got if got[i]["held_out"] and bad[i] and i % 10 < 9]
+    clean = [i for i in got if got[i]["held_out"] and not bad[i]]
+    assert sum(got[i]["predicted"] for i in rare) >= 0.9 * len(rare) > 0
+    assert sum(got[i]["predicted"] for i in plain) >= 0.9 * len(plain)
+    assert sum(got[i]["predicted"] for i in clean) <= 0.05 * len(clean)
