@@ -15,7 +15,8 @@ that fits wins.
 A null url or one without ``://`` has an empty host and path; no rule fits it, and
 an empty url has the more frequent verdict. Without urls of both verdicts that
 rules decide, the one that occurs (allow, if none) is given. Repeated rows give
-repeated results; names of any length are split whole, in pieces of ``MOST_NAME``.
+repeated results; names of any length are split whole, into words of at
+most ``MOST_WORD`` letters.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from ._common import stored, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BUCKETS = 1 << 16
-MOST_WORD, MOST_NAME, UNKNOWN = 20, 64, 12.0
+MOST_WORD, UNKNOWN = 20, 12.0
 SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,9 +68,8 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 
 def names_in(text: Column, kind: str) -> Column:
-    """The names of a host or path, in pieces, each with its kind."""
-    pieces = F.flatten(F.transform(words_in(text), lambda w: F.regexp_extract_all(w, F.lit("(.{1,%d})" % MOST_NAME), 1)))
-    return F.transform(pieces, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("name")))
+    """The names of a host or path, each with its kind."""
+    return F.transform(words_in(text), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("name")))
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:

@@ -181,6 +181,16 @@ def test_viterbi_takes_the_cheapest_split():
     assert op5_urls.viterbi("zz", [], 100) == ["z", "z"]
 
 
+def test_long_names_are_split_whole(spark):
+    from pyspark.sql import functions as F
+
+    path = "cheap" * 12 + "pills" + "cheap" * 12
+    df = spark.createDataFrame([(f"http://a.net/{path}", "<p>cheap pills</p>")], "url string, html string")
+    names = df.select(F.explode(op5_urls.names_in(op5_urls.path_of(F.col("url")), "p")).alias("x")).select("x.name")
+    got = op5_urls.segmented(names, op5_urls.word_counts(df)).first()
+    assert got["words"] == ["cheap"] * 12 + ["pills"] + ["cheap"] * 12
+
+
 @pytest.mark.parametrize("chunk", [3, 1000])
 def test_top_k(spark, chunk):
     from pyspark.sql import functions as F
