@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -13,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that a Python step gets at a time, about.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a Parquet table under ``sf_dir``."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,15 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests in local mode) a temporary folder is made.
+    Where it is unset, a local session (as in tests) gets a temporary folder that is
+    deleted at exit; on a cluster that is an error, as executors would not find it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def tuned(spark: SparkSession) -> None:
+    """Set, for the session, what these operators need: small Arrow batches, as texts may
+    be long, and shuffle files that are deleted when the query that wrote them has ended."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -38,18 +55,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     shuffle files, and a nondeterministic recomputation is impossible.
     """
     spark = df.sparkSession
+    tuned(spark)
     path = os.path.join(shared_dir(spark), "lexmill", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose frames are no longer referenced.
 
-    Its cleaner follows the driver's garbage collection, which may not run for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:

@@ -1,37 +1,48 @@
-"""Words, rolling hashes and window minima of many texts at once, over flat numpy arrays.
-
-All hashes are polynomials modulo 2**64 over a table of random values, with an
-odd base, finished by a bijection; equal strings have equal hashes anywhere.
+"""Words, Rabin-Karp hashes and window minima of many texts at once, over flat numpy arrays.
+
+A word has two independent 64-bit values, halves of its BLAKE2b digest. Runs of
+words are polynomials of these values modulo the prime 2**61 - 1 at a random base,
+so two different runs of k words have equal hashes with a chance of at most
+k / 2**61, whatever the words are. (Modulo 2**64 there would be texts that collide
+at every base.) Runs of bytes, which only deal work out, are polynomials modulo
+2**64: what they bring together is compared afterwards.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 from ._common import mix64
 
 _rng = np.random.default_rng(20240611)
-#: A random 64-bit value for each byte, the base of the byte polynomial and its inverse, the base for words.
+#: A random 64-bit value for each byte, the base of the byte polynomial and its inverse.
 BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE, WORD_BASE = (int(x) for x in _rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64) | np.uint64(5))
+BASE = int(_rng.integers(1 << 62, 1 << 63, dtype=np.uint64) | np.uint64(5))
 INVERSE = pow(BASE, -1, 1 << 64)
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes of text handled together; a bound on memory, not on results.
-TOGETHER = 2_000_000
+PRIME = (1 << 61) - 1
+#: The bases of the two word polynomials.
+BASES = tuple(int(x) % PRIME for x in _rng.integers(1 << 60, 1 << 61, 2, dtype=np.uint64))
+#: Bytes of text handled together, words remembered: bounds on memory, not on results.
+TOGETHER, KEEP_WORDS = 400_000, 200_000
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """The powers of the base and of its inverse, up to n."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((BASE, INVERSE)):
-            p = np.full(max(n, TOGETHER) + 2, base, np.uint64)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse; those for longer texts are not kept."""
+    made = _powers
+    if len(made[0]) < n:
+        made = []
+        for base in (BASE, INVERSE):
+            p = np.full(max(n, TOGETHER + 2), base, np.uint64)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
+            made.append(np.multiply.accumulate(p, out=p))
+        if n <= TOGETHER + 2:
+            _powers[:] = made
+    return made[0], made[1]
 
 
 def batches(texts: list[bytes], together: int = TOGETHER) -> Iterator[tuple[int, list[bytes]]]:
@@ -46,43 +57,89 @@ def batches(texts: list[bytes], together: int = TOGETHER) -> Iterator[tuple[int,
         yield start, texts[start:]
 
 
-class Words:
-    """The words of several texts: ``starts`` and ``ends`` in ``data``, the text of each, their hashes."""
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEEP_WORDS:
+            self.clear()
+        d = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return d
 
-    def __init__(self, texts: list[bytes]) -> None:
-        self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        step = np.diff(SPACE[self.data].view(np.int8), prepend=np.int8(1))
-        self.starts = np.flatnonzero(step == -1)
-        self.ends = np.flatnonzero(step == 1)
-        stops = np.cumsum([len(t) + 1 for t in texts])
-        self.first = np.searchsorted(self.starts, np.r_[0, stops])  # the first word of each text
-        self.counts = np.diff(self.first)
-        self.of = np.repeat(np.arange(len(texts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        p, q = powers(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTES[self.data] * p[: len(self.data)], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * q[self.starts]
-        return mix64(h + (self.ends - self.starts).astype(np.uint64))
+_digests = _Digests()
 
 
-def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every k consecutive words; they may cross texts."""
-    n = max(0, len(h) - k + 1)
-    w = np.zeros(n, np.uint64)
-    for j in range(k):
-        w = w * np.uint64(WORD_BASE) + h[j : j + n]
-    return mix64(w)
+class Words:
+    """The words of several texts: how many each has, the first of each, the text of each, two values of each."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        words = [t.split() for t in texts]  # of bytes, this splits at exactly the six ASCII white-space characters
+        self.counts = np.array([len(w) for w in words], np.int64)
+        self.first = np.r_[0, np.cumsum(self.counts)]
+        self.of = np.repeat(np.arange(len(texts)), self.counts)
+        values = np.frombuffer(b"".join(map(_digests.__getitem__, chain.from_iterable(words))), "<u8")
+        self.values = values[0::2].copy(), values[1::2].copy()
+
+    def windows(self, k: int, which: int = 0) -> np.ndarray:
+        """The hash of every k consecutive words; they may cross texts."""
+        return windows(self.values[which], k, which)
+
+
+def residues(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo the prime."""
+    p = np.uint64(PRIME)
+    x = (x & p) + (x >> np.uint64(61))
+    np.subtract(x, p, out=x, where=x >= p)
+    return x
+
+
+def times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo the prime: products of halves, none of which reaches 2**63."""
+    bits, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    bu, bd = np.uint64(b >> 31), np.uint64(b & ((1 << 31) - 1))
+    au, ad = a >> bits, a & low
+    mid = ad * bu
+    mid += au * bd
+    au *= bu
+    au += au
+    ad *= bd
+    ad += au
+    ad += mid >> np.uint64(30)
+    mid &= np.uint64((1 << 30) - 1)
+    mid <<= bits
+    ad += mid
+    return residues(ad)
+
+
+def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
+    """The polynomial of every k consecutive residues, put together from runs of powers of two."""
+    if len(h) < k:
+        return h[:0]
+    done, covered, run, length, power = None, 0, h, 1, base
+    while True:
+        if k & length:
+            done = run if done is None else residues(times(done[: len(run) - covered], power) + run[covered:])
+            covered += length
+        if 2 * length > k:
+            return done
+        run = residues(times(run[:-length], power) + run[length:])
+        length, power = 2 * length, power * power % PRIME
+
+
+def windows(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """The hash of every k consecutive 64-bit values."""
+    return mix64(rolling(residues(values), k, BASES[which]))
 
 
 def grams(data: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every k consecutive bytes."""
+    """The hash of every k consecutive bytes; equal ones are equal anywhere, and few others."""
     n = max(0, len(data) - k + 1)
-    p, q = powers(len(data))
+    p, q = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTES[data] * p[: len(data)], out=total[1:])
-    return mix64((total[k : k + n] - total[:n]) * q[:n])
+    np.multiply(BYTES[data], p[: len(data)], out=total[1:])
+    np.cumsum(total, out=total)
+    h = total[k : k + n] - total[:n]
+    h *= q[:n]
+    return mix64(h)
 
 
 def window_minima(x: np.ndarray, w: int) -> np.ndarray:

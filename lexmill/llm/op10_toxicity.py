@@ -37,9 +37,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out_column, release, stored, table
-from ._hashes import Bitmap
-from ._repeats import bitmap, bitmap_bits, has_ids, hashed_ids
+from ._common import held_out_column, stored, table
+from ._repeats import bitmap, has_ids, hashed_ids
 
 MAX_TRAIN, FOLDS, CLEAN_LOSS = 6_000, 4, 0.03
 WORDS, STEP, LEVEL = 8, 4, 9
@@ -62,11 +61,10 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def with_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``chosen`` with the texts; only rows whose doc_id a bitmap has are shuffled."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    bits = bitmap_bits(chosen.count())
-    ids = bitmap(hashed_ids(chosen, "doc_id"), bits)
+    ids = bitmap(hashed_ids(chosen, "doc_id"))
 
     def known(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bitmap(bits, ids.value)
+        own = ids.open()
         for b in it:
             yield b.filter(pa.array(has_ids(own, b.column("doc_id").to_numpy(zero_copy_only=False))))
 
@@ -182,7 +180,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float],
         return None
     rates = {k: (t + toxic / total) / (n + 1) for k, (t, n) in strata.items()}
     words = word_counts(docs, chosen, rates)
-    release(docs.sparkSession)
     common = first_words(words, F.col("n").desc(), most=COMMON + MOST_OWN)
     parts = [dictionaries(words, common, k) for k in range(FOLDS)]
     # No larger than those that are calibrated: larger ones would save more on any text.

@@ -22,7 +22,8 @@ different surroundings) is not given to one task: each of its windows becomes a
 context of its own, and counting alone decides, exactly.
 
 Texts are UTF-8. A null text is empty; texts shorter than a window lose nothing.
-Repeated rows are copies of one another and lose everything a window covers.
+Repeated rows are copies of one another and lose everything a window covers. Rows with
+null ids, or with one id and different texts, are judged apart, as any others.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix64, release, stored, table, utf8
-from ._hashes import BYTES, Bitmap, batches, grams, powers, window_minima
-from ._repeats import bitmap, bitmap_bits, has_ids, hashed_ids, signed
+from ._common import dropped, mix64, stored, table, tuned, utf8
+from ._hashes import batches, grams, window_minima
+from ._repeats import NO_ID, Parts, bitmap, copies_of, has_ids, hashed_ids, ids_of, signed, with_marks
 
 LENGTH, GRAM = 200, 64
 MOST_CONTEXTS = 2_000
@@ -58,7 +61,8 @@ class Contexts:
     """The contexts of several texts: text, first window, number of windows, class and key of each."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int) -> None:
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.raw = b"".join(texts)
+        self.data = np.frombuffer(self.raw, np.uint8)
         self.length = length
         sizes = np.array([len(t) for t in texts])
         self.base = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
@@ -94,14 +98,14 @@ class Contexts:
 
     def keys(self) -> np.ndarray:
         """A hash of the whole context and of where the anchor is in it."""
-        p, q = powers(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTES[self.data] * p[: len(self.data)], out=total[1:])
-        end = self.start + self.windows + self.length - 1
-        return mix64((total[end] - total[self.start]) * q[self.start] + mix64(self.offset * np.uint64(1024) + self.windows.astype(np.uint64)))
+        raw = memoryview(self.raw)
+        ends = (self.start + self.windows + self.length - 1).tolist()
+        seeds = (self.offset.astype(np.int64) << 10 | self.windows).tolist()
+        hashes = (xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b, seed in zip(self.start.tolist(), ends, seeds, strict=True))
+        return np.fromiter(hashes, np.uint64, len(ends))
 
     def text(self, k: int) -> bytes:
-        return self.data[self.start[k] : self.start[k] + self.windows[k] + self.length - 1].tobytes()
+        return self.raw[self.start[k] : self.start[k] + self.windows[k] + self.length - 1]
 
 
 def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
@@ -190,89 +194,99 @@ def ranges(flags: np.ndarray) -> np.ndarray:
     return edge.astype(np.int32)
 
 
+def frame(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """uid, ``at`` (flat pairs: first and one past the last repeated window), and ``copied`` of rows that have any.
+    """doc_id, part, ``at`` (flat pairs: first and one past the last repeated window), and ``copied`` of rows that have any.
 
-    ``docs``: uid, text. A copied text has an equal one elsewhere.
+    ``docs``: doc_id, text, h, none null. A copied text has an equal one elsewhere.
     """
-    spark = docs.sparkSession
-    digests = docs.where(F.octet_length("text") >= length).select("uid", F.sha2("text", 256).alias("digest"))
-    groups = digests.groupBy("digest").agg(F.min("uid").alias("first"), F.count("*").alias("n"))
-    copies = stored(digests.join(groups, "digest").select("uid", "first", "n"), "op3c")
-    firsts = copies.where("uid = first").select("first").distinct()
-    total = firsts.count()
-    id_bits = bitmap_bits(total)
-    first_ids = bitmap(hashed_ids(firsts, "first"), id_bits)
-
-    def contexts_of(it: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, Contexts]]:
-        """The contexts of the first copies; that a few later ones may be among them changes nothing."""
-        known = Bitmap(id_bits, first_ids.value)
+    long_enough = docs.where(F.octet_length("text") >= length)
+    copies = copies_of(long_enough)
+    parts, firsts = Parts(copies), hashed_ids(copies.where("doc_id = first"), "doc_id")
+    first_ids = bitmap(firsts)
+    dropped(firsts)
+
+    def contexts_of(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Contexts]]:
+        """Ids, parts and contexts of the first copies; that a few later ones may be among them changes nothing."""
+        known, part_of = first_ids.open(), parts.reader()
         for b in it:
-            b = b[has_ids(known, b["uid"].to_numpy())]
-            uid = b["uid"].to_numpy()
-            for first, texts in batches([utf8(t) for t in b["text"]]):
-                if any(len(t) >= length for t in texts):
-                    yield uid[first:], Contexts(texts, length, gram)
-
-    def emit_anchors(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, c in contexts_of(it):
+            b = b.filter(pa.array(has_ids(known, ids_of(b.column("doc_id")))))
+            ids = ids_of(b.column("doc_id"))
+            part = part_of(ids, ids_of(b.column("h")))
+            for first, texts in batches([utf8(t) for t in b.column("text").to_pylist()]):
+                yield ids[first:], part[first:], Contexts(texts, length, gram)
+
+    def emit_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, c in contexts_of(it):
             h, n = np.unique(c.h, return_counts=True)
-            yield pd.DataFrame({"hash": signed(h), "n": n})
+            yield frame(hash=signed(h), n=n)
 
-    anchors = docs.mapInPandas(emit_anchors, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
-    bits = bitmap_bits(total * 48)
-    seen = bitmap(anchors, bits)
-    del anchors
-    release(spark)
+    anchors = long_enough.mapInArrow(emit_anchors, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    anchors = stored(anchors, "op3a")
+    seen = bitmap(anchors)
+    dropped(anchors)
 
-    def occurrences(hot, hot_bits: int) -> DataFrame:
-        def emit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = Bitmap(bits, seen.value)
-            for uid, c in contexts_of(it):
-                c.only(known.has(c.h))
-                if hot is not None:
-                    c.split(Bitmap(hot_bits, hot.value).has(mix64(c.h)))
-                yield pd.DataFrame({"h": signed(c.h), "key": signed(c.keys()), "uid": uid[c.of], "start": (c.start - c.base[c.of]).astype(np.int32), "windows": c.windows.astype(np.int32)})
+    def split_at(hot):
+        """In a task: the contexts of repeated anchors, those of hot classes as single windows."""
+        known, own = seen.open(), hot.open() if hot else None
+
+        def run(c: Contexts) -> Contexts:
+            c.only(known.has(c.h))
+            if own is not None:
+                c.split(own.has(mix64(c.h)))
+            return c
 
-        return stored(docs.mapInPandas(emit, "h long, key long, uid long, start int, windows int"), "op3o")
+        return run
+
+    def occurrences(hot) -> DataFrame:
+        def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            split = split_at(hot)
+            for ids, part, c in contexts_of(it):
+                c = split(c)
+                yield frame(
+                    h=signed(c.h), key=signed(c.keys()), doc_id=ids[c.of], part=part[c.of], start=(c.start - c.base[c.of]).astype(np.int32), windows=c.windows.astype(np.int32)
+                )
+
+        return stored(long_enough.mapInArrow(emit, "h long, key long, doc_id long, part long, start int, windows int"), "op3o")
 
     def distinct(occ: DataFrame) -> DataFrame:
-        least = F.min(F.struct("uid", "start", "windows")).alias("r")
-        return stored(occ.groupBy("h", "key").agg(F.count("*").alias("n"), least), "op3d")
+        return stored(occ.groupBy("h", "key").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "op3d")
 
-    hot, hot_bits = None, 20
-    occ = occurrences(None, 0)
+    hot = None
+    occ = occurrences(None)
     ctx = distinct(occ)
-    large = stored(ctx.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > MOST_CONTEXTS).select("h"), "op3h")
-    if n_large := large.count():
-        hot_bits = bitmap_bits(n_large)
-        hot = bitmap(hashed_ids(large, "h"), hot_bits)
-        occ = occurrences(hot, hot_bits)
+    large = hashed_ids(ctx.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > MOST_CONTEXTS), "h")
+    if not large.isEmpty():
+        hot = bitmap(large)
+        dropped(occ, ctx)
+        occ = occurrences(hot)
         ctx = distinct(occ)
-    release(spark)
+    dropped(large)
 
     mixed = ctx.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    need = stored(ctx.join(mixed, "h", "left_semi").select("h", "key", "r.uid", "r.start", "r.windows"), "op3n")
-    size = need.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0)), F.count("*")).first()
-    groups = max(1, -(-int(size[0]) // SORTED_BYTES))
-    need_bits = bitmap_bits(int(size[1]))
-    wanted = bitmap(hashed_ids(need, "key"), need_bits)
-
-    def emit_texts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, keys = Bitmap(bits, seen.value), Bitmap(need_bits, wanted.value)
-        for uid, c in contexts_of(it):
-            c.only(known.has(c.h))
-            if hot is not None:
-                c.split(Bitmap(hot_bits, hot.value).has(mix64(c.h)))
+    need = stored(ctx.join(mixed, "h", "left_semi").select("h", "key", "windows"), "op3n")
+    size = need.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
+    groups = max(1, -(-int(size) // SORTED_BYTES))
+    keys = hashed_ids(need, "key")
+    wanted = bitmap(keys)
+    dropped(keys)
+
+    def emit_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, known = split_at(hot), wanted.open()
+        for _, _, c in contexts_of(it):
+            c = split(c)
             key = c.keys()
             # Only the first of equal contexts of these texts.
-            pick = np.flatnonzero(has_ids(keys, signed(key)))
+            pick = np.flatnonzero(has_ids(known, signed(key)))
             pick = pick[np.unique(key[pick], return_index=True)[1]]
-            yield pd.DataFrame(
-                {"h": signed(c.h[pick]), "key": signed(key[pick]), "text": [c.text(k) for k in pick.tolist()]}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(c.h[pick])), pa.array(signed(key[pick])), pa.array([c.text(k) for k in pick.tolist()], pa.binary())], ["h", "key", "text"]
             )
 
-    found = docs.mapInPandas(emit_texts, "h long, key long, text binary")
+    found = long_enough.mapInArrow(emit_texts, "h long, key long, text binary")
     found = found.join(need.select("h", "key"), ["h", "key"], "left_semi").groupBy("h", "key").agg(F.min("text").alias("text"))
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -282,14 +296,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     marked = found.withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("g").applyInPandas(sort, "h long, key long, at array<int>")
     marked = stored(marked, "op3m")
-    release(spark)
-    whole = ctx.where("n > 1").select("h", "key", F.array(F.lit(0), F.col("r.windows")).alias("at"))
+    dropped(need)
+    whole = ctx.where("n > 1").select("h", "key", F.array(F.lit(0), F.col("windows")).alias("at"))
     partly = marked.join(whole, ["h", "key"], "left_anti").select("h", "key", "at")
-    hits = occ.join(whole.unionByName(partly), ["h", "key"]).select("uid", F.transform("at", lambda x: x + F.col("start")).alias("at"))
-    hits = hits.groupBy("uid").agg(F.flatten(F.collect_list("at")).alias("at"), F.lit(False).alias("copied"))
-    later = copies.where("n > 1").select("uid", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("copied")).distinct()
-    out = stored(hits.unionByName(later).groupBy("uid").agg(F.max_by("at", F.size("at")).alias("at"), F.max("copied").alias("copied")), "op3")
-    release(spark)
+    spans = stored(whole.unionByName(partly), "op3s")
+    dropped(ctx, marked)
+    hits = occ.join(spans, ["h", "key"]).select("doc_id", "part", F.transform("at", lambda x: x + F.col("start")).alias("at"))
+    hits = hits.groupBy("doc_id", "part").agg(F.flatten(F.collect_list("at")).alias("at"), F.lit(False).alias("copied"))
+    again = parts.of(copies.where("n > 1")).select("doc_id", "part", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("copied"))
+    out = stored(hits.unionByName(again).groupBy("doc_id", "part").agg(F.max_by("at", F.size("at")).alias("at"), F.max("copied").alias("copied")), "op3")
+    dropped(occ, spans, copies)
     return out
 
 
@@ -311,22 +327,24 @@ def kept_bytes(text: bytes, at, copied: bool, length: int) -> tuple[int, int, by
 
 def byte_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    tuned(docs.sparkSession)
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("own"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for text, at, copied in zip(b["text"], b["at"], b["copied"], strict=True):
-                raw = utf8(text)
-                removed, spans, kept = kept_bytes(raw, at, copied is True, length)
+            for text, at, copied in zip(b.column("text"), b.column("at"), b.column("copied"), strict=True):
+                raw = utf8(text.as_py())
+                removed, spans, kept = kept_bytes(raw, at.values.to_numpy() if at.is_valid else None, copied.as_py() is True, length)
                 out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
-            out = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+            n, removed, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
+            columns = [b.column("own"), *(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(repeated_spans(rows.select("uid", "text"), length), "uid", "left").select("doc_id", "text", "at", "copied")
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = with_marks(rows, repeated_spans(rows.drop("own"), length), F.col("doc_id"), F.col("h")).select("own", "text", "at", "copied")
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

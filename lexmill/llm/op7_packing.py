@@ -1,15 +1,16 @@
 """Packing token sequences: first-fit decreasing with a tournament tree of bin capacities.
 
 Every document is encoded, ended with id 0, and cut at multiples of the sequence
-length. The pieces are dealt into randomised groups by a hash of the document and
-its ids, and each group is packed on its own: pieces from long to short, each
-into the first sequence with room for it. A tournament tree over the free space
-finds that sequence in log n steps: every inner node holds the most room below it.
-Group size follows ``group_docs``; the number of groups follows the input, so a
-task never holds more than a few groups.
-
-Nulls: a null text is the empty text, a single id 0. Repeated rows are packed as
-often as they occur. An empty table gives none.
+length. The documents are dealt into randomised groups of about ``GROUP_DOCS`` by a
+hash of their places in the table, and each group is packed on its own: pieces from
+long to short, each into the first sequence with room for it. A tournament tree over
+the free space finds that sequence in log n steps: every inner node holds the most
+room below it. The number of groups follows the input; pieces as long as a sequence
+are sequences of their own, so that they take no part in a group's search.
+
+Nulls: a null text is the empty text, a single id 0; a null doc_id stays null.
+Repeated rows, and rows that share a doc_id, are documents of their own. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,22 +22,25 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import stored, table
+from ._common import mix64, stored, table, tuned
 
 SPACE = "\t-\r \x85\xa0  -     　"
 #: White space with what follows it: no word of the tokenizer has anything before its white space.
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+$")
 #: Runs remembered at a time; a bound on memory, not on results.
-KEEP_RUNS = 1_000_000
-GROUP_DOCS = 8192
+KEEP_RUNS = 200_000
+GROUP_DOCS = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+ROWS = PIECES + ", row long"
+PACKED = PIECES + ", sequence_id long, offset long"
 
 
 class ByteBPE:
@@ -77,21 +81,36 @@ def encoder(tokenizer: str, ranks: str) -> ByteBPE:
     return _made[tokenizer]
 
 
+def columns_of(names: str) -> list[str]:
+    return [c.split()[0] for c in names.split(", ")]
+
+
 def pieces_of(docs: DataFrame, length: int = 1024, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """A row for each piece of each document: where it starts, its length and its checksum."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = encoder(tokenizer, ranks)
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
-                ids = bpe.encode(text) + b"\0\0\0\0"
+    """A row for each piece of each document: where it starts, its length and checksum; and ``row``, a hash of the document's place.
+
+    The place is the task and a count; to be stored, as another run may read rows in another order.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, done = encoder(tokenizer, ranks), TaskContext.get().partitionId() << 40
+        for b in it:
+            start, size, crc, total, of = [], [], [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                ids = bpe.encode(text or "") + b"\0\0\0\0"
                 n = len(ids) // 4
-                rows += [(doc, at, min(length, n - at), zlib.crc32(ids[4 * at : 4 * (at + length)]), n) for at in range(0, n, length)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+                for at in range(0, n, length):
+                    start.append(at)
+                    size.append(min(length, n - at))
+                    crc.append(zlib.crc32(ids[4 * at : 4 * (at + length)]))
+                    total.append(n)
+                    of.append(k)
+            of = np.array(of, np.int64)
+            row = mix64((of + done).astype(np.uint64)).view(np.int64)
+            done += b.num_rows
+            columns = [b.column("doc_id").take(pa.array(of)), *(pa.array(c, pa.int64()) for c in (start, size, crc, total)), pa.array(row)]
+            yield pa.RecordBatch.from_arrays(columns, columns_of(ROWS))
 
-    cols = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return cols.mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROWS)
 
 
 class Tournament:
@@ -129,18 +148,19 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def pack(docs: DataFrame, length: int = 1024, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Each piece with its sequence and its offset there."""
+    tuned(docs.sparkSession)
     pieces = stored(pieces_of(docs, length), "op7")
-    groups = max(1, -(-pieces.count() // (2 * group_docs)))
+    groups = max(1, -(-pieces.where("start = 0").count() // group_docs))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), length)
-        pdf["sequence_id"] = (pdf["pack_group"].to_numpy().astype(np.int64) << 32) + bins
-        pdf["offset"] = offsets
-        return pdf.drop(columns="pack_group")
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), ("row", "ascending"), ("start", "ascending")])
+        bins, offsets = first_fit_decreasing(t.column("length").to_numpy(), length)
+        group = t.column("pack_group").to_numpy().astype(np.int64)
+        own = [t.column(c) for c in columns_of(PIECES)]
+        return pa.Table.from_arrays([*own, pa.array((group << 32) + bins), pa.array(offsets)], columns_of(PACKED))
 
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(7)), F.lit(groups)).cast("int")
-    return pieces.withColumn("pack_group", key).groupBy("pack_group").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    grouped = pieces.withColumn("pack_group", F.pmod(F.col("row"), F.lit(groups)).cast("int")).groupBy("pack_group")
+    return grouped.applyInArrow(run, PACKED)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
