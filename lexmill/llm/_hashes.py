@@ -1,7 +1,8 @@
 """Words, Rabin-Karp hashes and window minima of many texts at once, over flat numpy arrays.
 
-A word has two independent 64-bit values, halves of its BLAKE2b digest. Runs of
-words are polynomials of these values modulo the prime 2**61 - 1 at a random base,
+A word has two independent 64-bit values: of up to sixteen bytes, chains of
+bijections of these bytes and their number; of more, the halves of a BLAKE2b digest.
+Runs of words are polynomials of these values modulo the prime 2**61 - 1 at a random base,
 so two different runs of k words have equal hashes with a chance of at most
 k / 2**61, whatever the words are. (Modulo 2**64 there would be texts that collide
 at every base.) Runs of bytes, which only deal work out, are polynomials modulo
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
@@ -26,8 +26,10 @@ INVERSE = pow(BASE, -1, 1 << 64)
 PRIME = (1 << 61) - 1
 #: The bases of the two word polynomials.
 BASES = tuple(int(x) % PRIME for x in _rng.integers(1 << 60, 1 << 61, 2, dtype=np.uint64))
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text handled together, words remembered: bounds on memory, not on results.
-TOGETHER, KEEP_WORDS = 400_000, 200_000
+TOGETHER, KEEP_WORDS = 400_000, 50_000
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -66,18 +68,34 @@ class _Digests(dict):
 
 
 _digests = _Digests()
+#: What to keep of eight bytes if a word has 0 to 8 of them; two keys.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+KEYS = _rng.integers(0, 1 << 63, 2, dtype=np.uint64)
 
 
 class Words:
     """The words of several texts: how many each has, the first of each, the text of each, two values of each."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        words = [t.split() for t in texts]  # of bytes, this splits at exactly the six ASCII white-space characters
-        self.counts = np.array([len(w) for w in words], np.int64)
-        self.first = np.r_[0, np.cumsum(self.counts)]
+        raw = b"\n".join([b"", *texts, b" " * 16])
+        data = np.frombuffer(raw, np.uint8)
+        space = SPACE[data]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        self.first = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+        self.counts = np.diff(self.first)
         self.of = np.repeat(np.arange(len(texts)), self.counts)
-        values = np.frombuffer(b"".join(map(_digests.__getitem__, chain.from_iterable(words))), "<u8")
-        self.values = values[0::2].copy(), values[1::2].copy()
+        # The first sixteen bytes as two numbers; with the length they tell all but longer words apart.
+        size = ends - starts
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        low = eight[starts] & MASKS[np.minimum(size, 8)]
+        high = eight[np.minimum(starts + 8, len(raw) - 8)] & MASKS[np.clip(size - 8, 0, 8)]
+        size = size.astype(np.uint64)
+        self.values = tuple(mix64(mix64(mix64(size + key) + low) + high) for key in KEYS)
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            own = np.frombuffer(b"".join(_digests[raw[a:b]] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), "<u8")
+            self.values[0][long], self.values[1][long] = own[0::2], own[1::2]
 
     def windows(self, k: int, which: int = 0) -> np.ndarray:
         """The hash of every k consecutive words; they may cross texts."""
@@ -154,12 +172,12 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
 
 
 class Bitmap:
-    """A set of 64-bit hashes as bits at their top bits; others may seem to be in it, none is missing."""
+    """A set of 64-bit hashes as bits at their low bits (least hashes have equal high ones); others may seem to be in it, none is missing."""
 
     def __init__(self, bits: int, data: bytes) -> None:
-        self.shift = np.uint64(64 - bits)
+        self.low = np.uint64((1 << bits) - 1)
         self.data = np.frombuffer(data, np.uint8)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = h >> self.shift
+        at = h & self.low
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0

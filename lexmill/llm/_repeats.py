@@ -47,8 +47,7 @@ def bitmap(hashes: DataFrame) -> Known:
         flags[pdf["place"].to_numpy() & ((1 << own) - 1)] = 1
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "data": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    place = F.shiftrightunsigned(F.col("hash"), 64 - bits)
-    places = hashes.select(place.alias("place")).distinct().withColumn("slice", F.shiftright("place", own).cast("int"))
+    places = hashes.select(F.col("hash").bitwiseAND((1 << bits) - 1).alias("place")).distinct().withColumn("slice", F.shiftright("place", own).cast("int"))
     data = bytearray(1 << (bits - 3))
     # At most 2**SLICE_BITS rows and the size of the bitmap in all.
     for row in places.groupBy("slice").applyInPandas(build, "slice int, data binary").collect():

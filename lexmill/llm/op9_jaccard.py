@@ -148,25 +148,26 @@ def tokens_of(reps: DataFrame, seen: Known | None = None) -> DataFrame:
 def whole_sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
     """id, n and the whole set of the classes ``involved`` (id, rep, n, d1, d2; stored)."""
     ids = hashed_ids(involved, "rep")
-    seen = bitmap(ids)
+    seen, wanted = bitmap(ids), bitmap(involved.select(F.col("d1").alias("hash")))
     dropped(ids)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sent = seen.open(), set()
+        known, own, sent = seen.open(), wanted.open(), set()
         for b in it:
             b = b.filter(pa.array(has_ids(known, ids_of(b.column("doc_id")))))
             rows = {}
             for s in shingle_sets([utf8(t) for t in b.column("text").to_pylist()], words):
                 key = (len(s), *digests(s))
-                if key not in sent:
+                if key not in sent and own.has(np.array([key[1]]).view(np.uint64))[0]:
                     rows[key] = s.tobytes()
                     sent.add(key)
             n, d1, d2 = zip(*rows, strict=True) if rows else ((), (), ())
             yield batch("n d1 d2 tokens", *(pa.array(c, pa.int64()) for c in (n, d1, d2)), pa.array([*rows.values()], pa.binary()))
 
     found = docs.mapInArrow(run, "n long, d1 long, d2 long, tokens binary")
-    found = found.join(involved.select("id", "n", "d1", "d2"), ["n", "d1", "d2"])
-    return found.groupBy("id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    # Dealt by what they are joined by, so that sets are moved once.
+    found = found.groupBy("n", "d1", "d2").agg(F.first("tokens").alias("tokens"))
+    return found.join(involved.select("id", "n", "d1", "d2"), ["n", "d1", "d2"]).select("id", "n", "tokens")
 
 
 def combinations(sets: DataFrame, limits: Limits) -> DataFrame:
