@@ -1,13 +1,17 @@
-"""Toxicity by compression distance: two zstandard dictionaries and calibrated windows.
-
-Both dictionaries share the commonest words of ordinary text. The toxic one also
-holds the words that are in significantly more toxic texts than their texts'
-lengths let expect, the ordinary one as many of those in significantly fewer.
-All labelled texts are counted, in Spark. Every window of
-eight words (half overlapping) is compressed with each; what the toxic dictionary
-saves, in bytes, is the window's difference. The features are the shares of a
-text's windows whose difference is beyond each of three thresholds, drawn to the
-shares of ordinary texts as if ``PRIOR`` of their windows were added. Shares do
+"""Toxicity by compression distance: two trained zstandard dictionaries and calibrated windows.
+
+Both dictionaries begin with the commonest words of ordinary text, so that what is
+common costs the same under either. What follows is trained by zstandard (its COVER
+trainer) on contrasting text: the toxic one on words that are in significantly more
+toxic texts than their texts' lengths let expect, each as often as toxic texts have
+it; the ordinary one on as much of the words that are in significantly fewer. The
+trainer keeps the pieces that these words share, so it also knows forms of a word
+that it has not seen. All labelled texts are counted, in Spark.
+
+Every window of eight words (half overlapping) is compressed with each dictionary;
+what the toxic one saves, in bytes, is the window's difference. The features are the
+shares of a text's windows whose difference is beyond each of three thresholds, drawn
+to the shares of ordinary texts as if ``PRIOR`` of their windows were added. Shares do
 not rise with the length of a text, as its largest differences do. A logistic
 model turns their logarithms into a score from 0 to 1. It is calibrated by
 cross-fitting: the texts of each of ``FOLDS`` folds are measured with dictionaries
@@ -19,15 +23,17 @@ The dictionaries learn from every distinct labelled text, of any length, except
 rows whose crc32(doc_id) mod 5 is 0, which are never used; a text with both labels
 is toxic, and one repeated in one doc_id counts as often as it is repeated. The
 four weights are fitted on at most ``MAX_TRAIN`` of these texts, drawn by a hash.
-Every text is scored whole. Inputs are the texts alone.
+All settings were chosen by the same cross-fitting, without the rows left out
+(``op10_measure.py``). Every text is scored whole. Inputs are the texts alone.
 
-A null or empty text has no windows and gets the score of ordinary shares.
-Without labelled rows of both kinds every score is 0. Repeated rows give repeated
-results; an empty table gives none.
+A null or empty text has no windows and gets the score of ordinary shares. A null
+doc_id is no held-out one, and has no label. Without labelled rows of both kinds every
+score is 0. Repeated rows give repeated results; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +43,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out_column, stored, table
-from ._repeats import bitmap, has_ids, hashed_ids
+from ._common import dropped, held_out_column, stored, table, tuned
+from ._repeats import bitmap, has_ids, hashed_ids, ids_of
 
-MAX_TRAIN, FOLDS, CLEAN_LOSS = 6_000, 4, 0.03
+MAX_TRAIN, FOLDS, CLEAN_LOSS = 6_000, 4, 0.02
 WORDS, STEP, LEVEL = 8, 4, 9
 #: Words both dictionaries share; significance (in standard deviations) of own words, toxic and ordinary; most of these.
 COMMON, SIGNIFICANT, SELDOM, MOST_OWN = 1500, 3.0, -1.5, 1500
+#: Bytes of a trained dictionary, of its segments, of what the trainer counts; words it sees.
+TRAINED, SEGMENT, UNIT, SAMPLES = 8192, 24, 6, 4_000
 #: Texts a word must be in; in fewer it is never significant.
 LEAST_TEXTS = 4
 #: Differences whose shares count; windows of ordinary text added to each; least share told apart.
-BEYOND, PRIOR, LEAST_SHARE = (2, 4, 6), 5, 1e-3
+BEYOND, PRIOR, LEAST_SHARE = (1, 3, 5), 5, 1e-3
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -61,12 +69,14 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def with_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``chosen`` with the texts; only rows whose doc_id a bitmap has are shuffled."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    ids = bitmap(hashed_ids(chosen, "doc_id"))
+    hashed = hashed_ids(chosen, "doc_id")
+    ids = bitmap(hashed)
+    dropped(hashed)
 
     def known(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ids.open()
         for b in it:
-            yield b.filter(pa.array(has_ids(own, b.column("doc_id").to_numpy(zero_copy_only=False))))
+            yield b.filter(pa.array(has_ids(own, ids_of(b.column("doc_id")))))
 
     texts = texts.mapInArrow(known, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
     # The same join at every size.
@@ -78,60 +88,86 @@ def fold() -> F.Column:
 
 
 def word_counts(docs: DataFrame, chosen: DataFrame, rates: dict[int, float]) -> DataFrame:
-    """Of each word: ``n`` ordinary texts with it, and for every fold its significance ``z`` in the other folds (the last: in all).
+    """Of each word: how many ordinary and toxic texts have it (``n``, ``t``) and its significance ``z``, each without one fold (the last: in all).
 
     The significance is that of the number of toxic texts with the word against
     what the toxic shares of texts of their lengths let expect.
     """
     expected = F.element_at(F.create_map(*[F.lit(x) for r in rates.items() for x in r]), F.col("stratum"))
     rows = with_text(docs, chosen).select(fold().alias("fold"), "toxic", expected.alias("e"), F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
-    sums = [F.sum(F.when(F.col("fold") == k, x)).alias(f"{c}{k}") for k in range(FOLDS) for c, x in (("d", F.col("toxic") - F.col("e")), ("v", F.col("e") * (1 - F.col("e"))))]
-    counts = rows.where("word <> ''").groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("n"), F.count("*").alias("texts"), *sums).where(F.col("texts") >= LEAST_TEXTS)
+    columns = (("d", F.col("toxic") - F.col("e")), ("v", F.col("e") * (1 - F.col("e"))), ("t", F.col("toxic")), ("n", 1 - F.col("toxic")))
+    sums = [F.sum(F.when(F.col("fold") == k, x)).alias(f"{c}{k}") for k in range(FOLDS) for c, x in columns]
+    counts = rows.where("word <> ''").groupBy("word").agg(F.count("*").alias("texts"), *sums).where(F.col("texts") >= LEAST_TEXTS)
 
-    def z(left_out: int):
-        d, v = (sum((F.coalesce(f"{c}{k}", F.lit(0.0)) for k in range(FOLDS) if k != left_out), F.lit(0.0)) for c in "dv")
+    def others(c: str, left_out: int):
+        return sum((F.coalesce(f"{c}{k}", F.lit(0)) for k in range(FOLDS) if k != left_out), F.lit(0))
+
+    out = ["word"]
+    for k in range(FOLDS + 1):
         # Rounded, so that the order of the sums does not matter.
-        return F.round(d / F.sqrt(v + 1), 6).alias(f"z{left_out}")
+        out.append(F.round(others("d", k) / F.sqrt(others("v", k) + 1), 6).alias(f"z{k}"))
+        out += [others(c, k).cast("long").alias(f"{c}{k}") for c in "tn"]
+    return stored(counts.select(*out), "op10w")
+
 
-    return stored(counts.select("word", "n", *[z(k) for k in range(FOLDS + 1)]), "op10w")
+def first_words(words: DataFrame, *order, most: int, count: str) -> list[tuple[str, int]]:
+    """The first words in an order, each with a count; at most ``most``."""
+    return [(r["word"], r[count]) for r in words.orderBy(*order, "word").limit(most).select("word", count).collect()]
 
 
-def first_words(words: DataFrame, *order, most: int) -> list[str]:
-    return [r["word"] for r in words.orderBy(*order, "word").limit(most).select("word").collect()]
+def trained(words: list[tuple[str, int]], samples: int) -> bytes:
+    """What zstandard's trainer makes of words, each as often as its count says of ``samples`` in all, in an order by hash."""
+    total = sum(n for _, n in words) or 1
+    seen = [(zlib.crc32(f"{w} {k}".encode("utf-8", "replace")), w) for w, n in words for k in range(max(1, round(n * samples / total)))]
+    texts = [f" {w} ".encode("utf-8", "replace") for _, w in sorted(seen)]
+    try:
+        out = zstandard.train_dictionary(TRAINED, texts, k=SEGMENT, d=UNIT, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        out = b""
+    # From a few words the trainer makes tables and no content: then all of them are the content.
+    most = max(words, key=lambda w: w[1])[0].encode("utf-8", "replace")
+    return out if most in out else b"".join(dict.fromkeys(texts))
 
 
 def dictionaries(words: DataFrame, common: list[str], left_out: int, most: int = MOST_OWN) -> tuple[bytes, bytes, int]:
-    """The contents of the ordinary and of the toxic dictionary, and how many words are the toxic one's own."""
+    """The contents of the ordinary and of the toxic dictionary, and how many words the toxic one was trained on."""
     z = F.col(f"z{left_out}")
-    own = first_words(words.where(z >= SIGNIFICANT), z.desc(), most=most)
-    other = first_words(words.where(z <= SELDOM), z, most=len(own)) if own else []
-    left = set(own)
+    own = first_words(words.where(z >= SIGNIFICANT), z.desc(), most=most, count=f"t{left_out}")
+    other = first_words(words.where(z <= SELDOM), z, most=len(own), count=f"n{left_out}") if own else []
+    left = {w for w, _ in own}
     shared = [w for w in common if w not in left][:COMMON]
-    # The best words last: near the window, where matches cost least.
-    content = [(" " + " ".join(shared[::-1]) + " " + " ".join(x[::-1]) + " ").encode("utf-8", "replace") for x in (other, own)]
-    return *content, len(own)
+    # The best last: near the window, where matches cost least.
+    start = (" " + " ".join(shared[::-1]) + " ").encode("utf-8", "replace")
+    samples = min(SAMPLES, *(sum(n for _, n in x) for x in (other or own, own)))
+    return *(start + trained(x, samples) if x else start for x in (other, own)), len(own)
 
 
-def compressor(content: bytes) -> zstandard.ZstdCompressor:
+def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def windowing() -> tuple[int, int, int, tuple[int, ...]]:
+    """The settings of windows, told to the tasks as they are in the driver."""
+    return WORDS, STEP, LEVEL, BEYOND
 
 
 class Distance:
     """The differences of a text under two dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.ordinary, self.toxic = compressor(ordinary), compressor(toxic)
+    def __init__(self, ordinary: bytes, toxic: bytes, how: tuple[int, int, int, tuple[int, ...]]) -> None:
+        self.words, self.step, level, self.beyond = how
+        self.ordinary, self.toxic = compressor(ordinary, level), compressor(toxic, level)
 
     def counts(self, text: str | None) -> tuple[int, ...]:
         """How many windows there are, and how many beyond each threshold."""
         w = (text or "").split()
         saved = []
-        for i in range(0, max(1, len(w) - WORDS + STEP) if w else 0, STEP):
-            x = (" " + " ".join(w[i : i + WORDS]) + " ").encode("utf-8", "replace")
+        for i in range(0, max(1, len(w) - self.words + self.step) if w else 0, self.step):
+            x = (" " + " ".join(w[i : i + self.words]) + " ").encode("utf-8", "replace")
             saved.append(len(self.ordinary.compress(x)) - len(self.toxic.compress(x)))
-        return len(saved), *(sum(s >= least for s in saved) for least in BEYOND)
+        return len(saved), *(sum(s >= least for s in saved) for least in self.beyond)
 
 
 def base_shares(counts: np.ndarray) -> np.ndarray:
@@ -170,74 +206,89 @@ def operating_point(x: np.ndarray, y: np.ndarray) -> float:
     return float(least + below.max()) / 2 if len(below) else float(least)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float], list[float]] | None:
-    """Dictionaries, ordinary shares and weights; None without labelled texts of both kinds."""
-    chosen = training_texts(docs, labels)
-    # One row for each power of two.
-    strata = {r["stratum"]: (r["toxic"], r["n"]) for r in chosen.groupBy("stratum").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()}
-    toxic, total = (sum(x) for x in zip(*strata.values(), strict=True)) if strata else (0, 0)
-    if not 0 < toxic < total:
+class Model:
+    """What a fit needs and makes: the training texts, word counts, dictionaries of the folds; out-of-fold counts and labels."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame) -> None:
+        self.final = None
+        chosen = training_texts(docs, labels)
+        # One row for each power of two.
+        strata = {r["stratum"]: (r["toxic"], r["n"]) for r in chosen.groupBy("stratum").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()}
+        toxic, total = (sum(x) for x in zip(*strata.values(), strict=True)) if strata else (0, 0)
+        if not 0 < toxic < total:
+            return
+        rates = {k: (t + toxic / total) / (n + 1) for k, (t, n) in strata.items()}
+        words = word_counts(docs, chosen, rates)
+        n = f"n{FOLDS}"
+        common = [w for w, _ in first_words(words, F.col(n).desc(), most=COMMON + MOST_OWN, count=n)]
+        parts = [dictionaries(words, common, k) for k in range(FOLDS)]
+        # No larger than those that are calibrated: larger ones would save more on any text.
+        self.final = dictionaries(words, common, FOLDS, max(m for _, _, m in parts))[:2]
+
+        how = windowing()
+
+        def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            distances = [Distance(a, b, how) for a, b, _ in parts]
+            for b in it:
+                counts = [distances[k].counts(t) for k, t in zip(b["fold"], b["text"], strict=True)]
+                yield pd.DataFrame({"h": b["h"], "toxic": b["toxic"], "counts": counts})
+
+        drawn = stored(chosen.orderBy("h").limit(MAX_TRAIN), "op10s")
+        sample = with_text(docs, drawn).select("h", "toxic", fold().cast("int").alias("fold"), "text")
+        rows = sorted((r["h"], r["toxic"], r["counts"]) for r in sample.mapInPandas(measure, "h long, toxic int, counts array<long>").collect())
+        dropped(chosen, words, drawn)
+        self.y = np.array([t for _, t, _ in rows], float)
+        counts = np.array([c for _, _, c in rows], float)
+        self.base = base_shares(counts[self.y == 0])
+        self.x = features(counts, self.base)
+        self.w = logistic(self.x, self.y)
+        self.values = self.x @ self.w[:-1] + self.w[-1]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
+    """Dictionaries, settings of windows, ordinary shares and weights; None without labelled texts of both kinds."""
+    m = Model(docs, labels)
+    if m.final is None:
         return None
-    rates = {k: (t + toxic / total) / (n + 1) for k, (t, n) in strata.items()}
-    words = word_counts(docs, chosen, rates)
-    common = first_words(words, F.col("n").desc(), most=COMMON + MOST_OWN)
-    parts = [dictionaries(words, common, k) for k in range(FOLDS)]
-    # No larger than those that are calibrated: larger ones would save more on any text.
-    ordinary, toxic_words, _ = dictionaries(words, common, FOLDS, max(n for _, _, n in parts))
-
-    def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        distances = [Distance(a, b) for a, b, _ in parts]
-        for b in it:
-            counts = [distances[k].counts(t) for k, t in zip(b["fold"], b["text"], strict=True)]
-            yield pd.DataFrame({"h": b["h"], "toxic": b["toxic"], "counts": counts})
-
-    drawn = chosen.orderBy("h").limit(MAX_TRAIN)
-    sample = with_text(docs, stored(drawn, "op10s")).select("h", "toxic", fold().cast("int").alias("fold"), "text")
-    rows = sorted((r["h"], r["toxic"], r["counts"]) for r in sample.mapInPandas(measure, "h long, toxic int, counts array<long>").collect())
-    x, y = np.array([c for _, _, c in rows], float), np.array([t for _, t, _ in rows], float)
-    base = base_shares(x[y == 0])
-    x = features(x, base)
-    w = logistic(x, y)
-    w[-1] -= operating_point(x @ w[:-1] + w[-1], y)
-    return ordinary, toxic_words, base.tolist(), w.tolist()
-
-
-def scorer(docs: DataFrame, labels: DataFrame):
-    """A function from texts to scores, to run in the executors; the model is a few ten thousand bytes."""
-    model = fit(docs, labels)
+    w = m.w.copy()
+    w[-1] -= operating_point(m.values, m.y)
+    return *m.final, windowing(), m.base.tolist(), w.tolist()
 
-    def scores(texts: list[str | None]) -> list[float]:
-        if model is None:
-            return [0.0] * len(texts)
-        d, base, w = Distance(*model[:2]), np.array(model[2]), np.array(model[3])
-        x = features(np.array([d.counts(t) for t in texts], float).reshape(-1, 1 + len(BEYOND)), base)
-        return (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))).tolist()
 
-    return scores
+def score(model, texts: list[str | None]) -> np.ndarray:
+    """The score of each text under a model as ``fit`` returns it."""
+    if model is None:
+        return np.zeros(len(texts))
+    d, base, w = Distance(*model[:3]), np.array(model[3]), np.array(model[4])
+    x = features(np.array([d.counts(t) for t in texts], float).reshape(-1, 1 + len(d.beyond)), base)
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    scores = scorer(docs, labels)
+    tuned(docs.sparkSession)
+    model = fit(docs, labels)  # a few ten thousand bytes
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            s = np.array(scores(b["text"].tolist()), float)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            s = score(model, b.column("text").to_pylist())
+            columns = [b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(held_out_column(), F.lit(False)).alias("held_out")
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held)
-    return cols.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return cols.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text scores below 0.5; all columns stay as they are."""
-    scores = scorer(docs, labels)
+    tuned(docs.sparkSession)
+    model = fit(docs, labels)
     schema = docs.schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield b.filter(pa.array([s < 0.5 for s in scores(b.column("text").to_pylist())], pa.bool_()))
+            yield b.filter(pa.array(score(model, b.column("text").to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from lexmill.llm import op3_suffix, op7_packing, op8_windows, op9_jaccard
+from lexmill.llm import op3_suffix, op7_packing, op8_windows, op9_jaccard, op10_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, row string, h long, part long, _of long"
 
@@ -179,3 +179,51 @@ def test_packing(odd, rows):
     assert len(bins) <= 1.1 * sum(lengths[r] for r in rows) / 64 + 4
     # A document's pieces are in one group, and the groups share out the documents.
     assert len({s >> 32 for s in bins}) == -(-len(rows) // 8)
+
+
+def labelled(rows):
+    rng = random.Random(31)
+    out = [(1000 + i, " ".join([*(bad := rng.sample(["idiot", "scum", "loser"], 2) if i % 4 == 0 else []), prose(rng, 60), *bad])) for i in range(400)]
+    return [*rows, *out], [(i, int(i % 4 == 0)) for i, _ in out] + [(None, 1), (None, 0), (10, None), (20, 0), (20, 1), (1, 0), (1, 0)]
+
+
+def test_toxicity(spark, rows):
+    """Scores against a plain computation from the fitted model, on rows of every kind."""
+    import math
+    import zlib
+
+    import zstandard
+
+    rows, labels = labelled(rows)
+    docs = spark.createDataFrame([(i, t, "en", None, "r", 1, 2, 3) for i, t in rows], SCHEMA).repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    ordinary, toxic, (words, step, level, beyond), base, weights = op10_toxicity.fit(docs, lab)
+
+    def size(x, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(x))
+
+    def score(text):
+        w = (text or "").split()
+        windows = [" " + " ".join(w[i : i + words]) + " " for i in range(0, max(len(w) - words + step, 1), step)] if w else []
+        saved = [size(x.encode(), ordinary) - size(x.encode(), toxic) for x in windows]
+        value = weights[-1]
+        for least, share, weight in zip(beyond, base, weights, strict=False):
+            value += weight * math.log((sum(s >= least for s in saved) + 5 * share) / (len(saved) + 5) + 1e-3)
+        return 1 / (1 + math.exp(-value))
+
+    want = Counter()
+    for i, t in rows:
+        s = score(t)
+        want[i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(s, 9), int(s >= 0.5)] += 1
+    got = Counter((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in op10_toxicity.toxicity(docs, lab).collect())
+    assert got == want
+    kept = Counter((r["doc_id"], r["text"], r["row"], r["h"]) for r in op10_toxicity.without_toxic(docs, lab).collect())
+    assert kept == Counter((i, t, "r", 1) for i, t in rows if score(t) < 0.5)
+    # Held-out labels teach nothing.
+    flipped = [(i, 1 - y if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in labels]
+    assert op10_toxicity.fit(docs, spark.createDataFrame(flipped, "doc_id long, toxic int")) == (ordinary, toxic, (words, step, level, beyond), base, weights)
+    assert op10_toxicity.without_toxic(docs.where("doc_id = 31"), lab.limit(0)).count() == 2
+    assert op10_toxicity.without_toxic(docs.limit(0), lab).collect() == []
