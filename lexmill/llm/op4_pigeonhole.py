@@ -5,17 +5,23 @@ Unit vectors u, v have cosine >= t exactly if their squared distance is at most
 spreads the distance evenly, and cut into blocks of ``WIDTH`` components. If the
 whole distance is within the budget, some block's is within that block's share,
 proportional to its width. So each block is range-joined on its own under its
-share, and the union of the candidates is verified on the whole vectors in
-double precision.
+share, and the candidates are verified on the whole vectors in double precision.
 
 The range join uses a grid over the first components of the block: a row lives in
 one cell and asks the cells its range touches from its own cell on, so each pair
-meets once. Cells with many rows are split into tiles; asking rows go to every
-tile. Equal vectors are one row from the start; a common vector costs nothing.
-
-Vectors that are null, empty, zero, or hold null or non-finite components link
-with nothing: no links, a component of their own. Vectors of different length
-are never linked. Repeated vec_ids are taken as that vector's copies.
+meets once in a block. Cells with many rows are dealt into pairs of tiles, those
+that live there against those that ask. Rows carry their whole vector, and a pair is
+verified where it meets; it belongs to the first block whose share it keeps, so it
+is counted once without any table of pairs. A task returns how many links each of
+its vectors has, and a spanning forest of the links.
+
+Equal vectors are one row from the start; a common vector costs nothing. Vectors that
+are null, empty, zero, or hold null or non-finite components link with nothing: no
+links, a component of their own. Vectors of different length are never linked.
+Every vector is scaled by its largest component before its norm is taken, so that no
+square overflows or underflows. Repeated vec_ids are that vector's copies, or other
+vectors under that id, and count each; a null vec_id links as any other, but is
+nobody's component_id unless all ids it reaches are null.
 """
 
 from __future__ import annotations
@@ -25,15 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stored, table
-from ._components import components
+from ._common import dropped, stored, table, tuned
+from ._components import components, forest
 
-WIDTH, TILE, AT_ONCE = 8, 4096, 2048
-#: Added to every budget: far above the rounding errors of double precision, far below any distance that matters.
+WIDTH, TILE, AT_ONCE = 8, 4096, 1024
+#: Added to every share: far above the rounding errors of double precision, far below any distance that matters.
 SLACK = 1e-9
+#: What a row does in its cell: lives and asks there (in a small cell), asks from another cell, only lives, asks from the same cell.
+BOTH, ASKS, LIVES, ASKS_OWN = 0, 1, 2, 3
 
 
 def rotation(d: int) -> np.ndarray:
@@ -50,141 +59,161 @@ def unpack(column) -> np.ndarray:
 def packed(vectors: DataFrame) -> DataFrame:
     """id and the vector as packed doubles; null if it links with nothing."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for v in b["v"]:
+            for v in b.column("v").to_pylist():
                 x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
                 ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
-                out.append(x.tobytes() if ok else None)
-            yield pd.DataFrame({"id": b["id"], "v": out})
+                out.append((x + 0.0).tobytes() if ok else None)  # no negative zeros: equal vectors have equal bytes
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "v"])
+
+    return vectors.mapInArrow(run, "id long, v binary")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, whatever their size."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-    return vectors.mapInPandas(run, "id long, v binary")
 
+def shares(d: int, t: float) -> list[tuple[int, int, float]]:
+    """First and last component of each block, and its share of the budget."""
+    return [(lo, min(lo + WIDTH, d), (2 - 2 * t) * (min(lo + WIDTH, d) - lo) / d + SLACK) for lo in range(0, d, WIDTH)]
 
-def cells_of(reps: DataFrame, t: float, grid: int) -> DataFrame:
-    """The rows of the range join: block, cell and tile, whether the row lives there, id and the block's components."""
+
+def cells_of(reps: DataFrame, t: float, grid: int, whole: bool) -> DataFrame:
+    """The rows of the range join: block, length, cell, whether the row lives there, node, copies and (if ``whole``) the rotated vector."""
+    schema = "block int, d int, cell long, home boolean, node long" + (", copies long, v binary" if whole else "")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             for size, g in b.groupby(b["v"].str.len()):
                 d = size // 8
-                x = unpack(g["v"])
-                # Scaled first, so that very large or small components do not overflow.
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = (x / np.sqrt((x * x).sum(1, keepdims=True))) @ rotation(d)
-                ids = g["id"].to_numpy()
-                for block, lo in enumerate(range(0, d, WIDTH)):
-                    y = np.ascontiguousarray(x[:, lo : lo + WIDTH])
-                    share = (2 - 2 * t) * y.shape[1] / d + SLACK
-                    r, n = math.sqrt(share), min(grid, y.shape[1])
+                x = unit(unpack(g["v"])) @ rotation(d)
+                node, copies = g["node"].to_numpy(), g["copies"].to_numpy()
+                raw = np.array([row.tobytes() for row in x], object) if whole else None
+
+                def rows(block, cell, home, keep):
+                    out = {"block": np.int32(block), "d": np.int32(d), "cell": cell, "home": home, "node": node[keep]}
+                    return pd.DataFrame(out | ({"copies": copies[keep], "v": raw[keep]} if whole else {}))
+
+                for block, (lo, hi, share) in enumerate(shares(d, t)):
+                    n = min(grid, hi - lo)
+                    y = x[:, lo : lo + n] + 1
+                    r = math.sqrt(share)
                     side = 2 * r
-                    own = np.floor((y[:, :n] + 1) / side).astype(np.int64)
-                    first = np.floor((y[:, :n] + 1 - r) / side).astype(np.int64)
-                    code = own @ (64 ** np.arange(n)[::-1])
-                    raw = [row.tobytes() for row in y]
-                    yield rows_of(block, d, code, True, True, ids, raw)
+                    power = 64 ** np.arange(n)[::-1]
+                    own = np.floor(y / side).astype(np.int64)
+                    first = np.floor((y - r) / side).astype(np.int64)
+                    code = own @ power
+                    yield rows(block, code, True, slice(None))
                     for corner in range(2**n):  # a range of the cell's side touches two cells in each direction
                         at = first + (corner >> np.arange(n) & 1)
-                        asked = at @ (64 ** np.arange(n)[::-1])
-                        keep = np.flatnonzero((asked >= code) & (at * side <= y[:, :n] + 1 + r).all(1))
-                        yield rows_of(block, d, asked[keep], False, asked[keep] == code[keep], ids[keep], [raw[k] for k in keep])
-
-    return reps.mapInPandas(run, "block int, d int, cell long, home boolean, own boolean, id long, y binary")
-
-
-def rows_of(block: int, d: int, cell, home: bool, own, ids, y) -> pd.DataFrame:
-    return pd.DataFrame({"block": np.int32(block), "d": np.int32(d), "cell": cell, "home": home, "own": own, "id": ids, "y": y})
-
-
-def near_in_block(g: pd.DataFrame, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (asking, living) of one cell within the block's budget."""
-    home, ask = g[g["home"]], g[~g["home"]]
-    if not len(home) or not len(ask):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, a = unpack(home["y"]), unpack(ask["y"])
-    share = (2 - 2 * t) * h.shape[1] / g["d"].iloc[0] + SLACK
-    hid, aid, own = home["id"].to_numpy(), ask["id"].to_numpy(), ask["own"].to_numpy()
-    out = []
-    hh = (h * h).sum(1)
-    for i in range(0, len(a), AT_ONCE):
-        x = a[i : i + AT_ONCE]
-        for j in range(0, len(h), AT_ONCE):
-            dist = (x * x).sum(1)[:, None] + hh[None, j : j + AT_ONCE] - 2 * (x @ h[j : j + AT_ONCE].T)
-            p, q = np.nonzero(dist <= share)
-            same = own[i + p]
-            p, q = aid[i + p], hid[j + q]
-            ok = np.where(same, p < q, p != q)  # in the own cell a pair meets twice
-            out.append((p[ok], q[ok]))
-    return np.concatenate([p for p, _ in out]), np.concatenate([q for _, q in out])
+                        asked = at @ power
+                        keep = np.flatnonzero((asked > code) & (at * side <= y + r).all(1))
+                        yield rows(block, asked[keep], False, keep)
+
+    return reps.select("node", "v", "copies").mapInPandas(run, schema)
+
+
+def within(x: np.ndarray, y: np.ndarray, lo: int, hi: int, share: float) -> np.ndarray:
+    """Whether rows of x and y are within a block's share: the same for a pair in any task and order."""
+    total = np.zeros(len(x))
+    for c in range(lo, hi):
+        total += (x[:, c] - y[:, c]) ** 2
+    return total <= share
+
+
+def links_of_tile(g: pd.DataFrame, t: float) -> pd.DataFrame:
+    """Links of one tile pair: (node, null, links) for each vector, and (a, b, 0) of a spanning forest."""
+    block, d = int(g["block"].iloc[0]), int(g["d"].iloc[0])
+    role = g["role"].to_numpy()
+    lives, asks = np.flatnonzero((role == BOTH) | (role == LIVES)), np.flatnonzero(role != LIVES)
+    x, node, copies = unpack(g["v"]), g["node"].to_numpy(), g["copies"].to_numpy()
+    parts = shares(d, t)
+    lo, hi, share = parts[block]
+    n_links, edges = np.zeros(len(g), np.int64), []
+    for i in range(0, len(asks), AT_ONCE):
+        a = asks[i : i + AT_ONCE]
+        xa = x[a]
+        ya = xa[:, lo:hi]
+        for j in range(0, len(lives), AT_ONCE):
+            b = lives[j : j + AT_ONCE]
+            xb = x[b]
+            yb = xb[:, lo:hi]
+            dist = (ya * ya).sum(1)[:, None] + (yb * yb).sum(1)[None, :] - 2 * (ya @ yb.T)
+            near = dist <= share + SLACK
+            near &= np.where((role[a] != ASKS)[:, None], node[a][:, None] < node[b][None, :], True)  # in its own cell a pair meets twice
+            if not near.any():
+                continue
+            p, q = np.nonzero(near & (xa @ xb.T >= t))
+            mine = within(xa[p], xb[q], lo, hi, share)
+            for lo2, hi2, share2 in parts[:block]:
+                mine[mine] = ~within(xa[p[mine]], xb[q[mine]], lo2, hi2, share2)
+            p, q = a[p[mine]], b[q[mine]]
+            np.add.at(n_links, p, copies[q])
+            np.add.at(n_links, q, copies[p])
+            edges += forest(zip(node[p].tolist(), node[q].tolist(), strict=True))
+    some = np.flatnonzero(n_links)
+    edges = forest(edges)
+    counts = pd.DataFrame({"a": node[some], "b": pd.array([None] * len(some), "Int64"), "links": n_links[some]})
+    return pd.concat([counts, pd.DataFrame({"a": [a for a, _ in edges], "b": pd.array([b for _, b in edges], "Int64"), "links": 0})]).astype({"a": "int64", "links": "int64"})
 
 
 def links(reps: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) of representatives with cosine >= t."""
+    """Parts of the number of links of each node, and a graph with the components of the links; see ``links_of_tile``. Stored."""
     n = reps.count()
     grid = min(4, max(1, math.ceil(math.log(max(1, n) / 2000 + 1, 3))))
-    rows = stored(cells_of(reps, t, grid), "op4")
     key = ["block", "d", "cell"]
-    living = rows.where("home")
-    tiles = living.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    ask = rows.where("not home").join(tiles, key)
-    ask = ask.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
-    home = living.join(tiles, key)
-    home = home.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("tiles")
-    both = home.unionByName(ask)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = near_in_block(pdf, t)
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
-
-    candidates = both.groupBy(*key, "tile").applyInPandas(run, "a long, b long").distinct()
-
-    def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            b = b[b["va"].str.len() == b["vb"].str.len()]
-            ok = np.zeros(len(b), bool)
-            for _, at in b.groupby(b["va"].str.len()).indices.items():
-                x, y = unpack(b["va"].iloc[at]), unpack(b["vb"].iloc[at])
-                ok[at] = cosine(x, y) >= t
-            yield b.loc[ok, ["a", "b"]]
-
-    va = reps.select(F.col("id").alias("a"), F.col("v").alias("va"))
-    vb = reps.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return candidates.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInPandas(verify, "a long, b long")
-
-
-def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The cosine of each pair of rows, in double precision."""
-    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-        c = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-    if not np.isfinite(c).all():  # components beyond the range of squares: scale first
-        x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-        return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-    return c
+    # How many live in a cell and how many ask there, of cells of more than a tile.
+    counts = cells_of(reps, t, grid, whole=False).groupBy(*key).agg(
+        F.ceil(F.sum(F.col("home").cast("int")) / TILE).cast("int").alias("homes"), F.ceil(F.count("*") / TILE).cast("int").alias("askers")
+    )
+    large = stored(counts.where("askers > 1"), "op4l")
+    rows = cells_of(reps, t, grid, whole=True).join(large, key, "left")
+    one, home = F.lit(0), F.col("home")
+    tile, ask_tile = F.pmod(F.xxhash64("node"), F.col("homes")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers")).cast("int")
+    homes, askers = (F.sequence(one, F.greatest(F.col(c), F.lit(1)) - 1) for c in ("homes", "askers"))
+
+    def place(i, j, role: int):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+
+    as_home = F.transform(askers, lambda j: place(tile, j, LIVES))
+    as_own, as_other = F.transform(homes, lambda i: place(i, ask_tile, ASKS_OWN)), F.transform(homes, lambda i: place(i, ask_tile, ASKS))
+    places = (
+        F.when(F.col("askers").isNull(), F.array(place(one, one, 0)))
+        .when(home, F.concat(as_home, as_own))
+        .otherwise(as_other)
+    )
+    rows = rows.withColumn("at", F.explode(places)).select(
+        *key, "at.i", "at.j", F.when(F.col("askers").isNull() & ~home, F.lit(ASKS)).otherwise(F.col("at.role")).alias("role"), "node", "copies", "v"
+    )
+    return stored(rows.groupBy(*key, "i", "j").applyInPandas(lambda g: links_of_tile(g, t), "a long, b long, links long"), "op4")
 
 
 def near_duplicates(vectors: DataFrame, t: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
+    tuned(vectors.sparkSession)
     rows = stored(packed(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))), "op4v")
-    classes = stored(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "op4c")
-    found = stored(links(classes.select(F.col("rep").alias("id"), "v"), t), "op4l")
-    both = found.union(found.select("b", "a"))
-    others = classes.select(F.col("rep").alias("b"), "copies")
-    n_links = both.join(others, "b").groupBy("a").agg(F.sum("copies").alias("more")).withColumnRenamed("a", "rep")
-    root = components(found).withColumnsRenamed({"node": "rep", "component": "root"})
-    of_class = classes.join(n_links, "rep", "left").join(root, "rep", "left")
-    of_class = of_class.select(
-        "v",
-        (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("root", "rep").alias("component_id"),
-    )
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "op4c")
+    found = links(classes, t)
+    n_links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
+    root = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"component": "root"})
+    named = stored(classes.join(root, "node", "left").join(n_links, "node", "left").withColumn("root", F.coalesce("root", "node")), "op4n")
+    dropped(classes, found)
+    least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "op4r")
+    more = (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links")
+    of_class = stored(named.join(least, "root").select("v", more, "component_id"), "op4d")
+    dropped(named, least)
     out = rows.join(of_class, "v", "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         component.alias("component_id"),
-        (F.col("id") == component).alias("kept"),
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from lexmill.llm import op3_suffix, op7_packing, op8_windows, op9_jaccard, op10_toxicity
+from lexmill.llm import op3_suffix, op4_pigeonhole, op6_topk, op7_packing, op8_windows, op9_jaccard, op10_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, row string, h long, part long, _of long"
 
@@ -227,3 +227,79 @@ def test_toxicity(spark, rows):
     assert op10_toxicity.fit(docs, spark.createDataFrame(flipped, "doc_id long, toxic int")) == (ordinary, toxic, (words, step, level, beyond), base, weights)
     assert op10_toxicity.without_toxic(docs.where("doc_id = 31"), lab.limit(0)).count() == 2
     assert op10_toxicity.without_toxic(docs.limit(0), lab).collect() == []
+
+
+def test_pigeonhole(spark, monkeypatch):
+    """Null and repeated ids, equal and tiny vectors, cells of more than one tile."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(32)
+    v = [base + rng.standard_normal(32) * s for s in np.linspace(0, 0.6, 60)]
+    v += [rng.standard_normal(32) for _ in range(60)]
+    v += [v[70] * 1e-170, v[71] * 1e160, v[72] * -1.0, v[70] * 1e-161 + v[70] * 1e-163, np.full(32, 5e-324), np.full(32, 1.7e308), np.full(32, 3.0)]
+    ids = [*range(len(v))]
+    v += [v[3], v[3], v[80], v[81] + 1e-6, v[4] * 1.001]
+    ids += [3, 200, None, None, 5]
+    df = spark.createDataFrame([(i, x.tolist(), i) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>, node long").repartition(3)
+    u = np.array([x / np.abs(x).max() for x in v])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    reach = link.copy()
+    for _ in range(8):
+        reach = reach @ reach
+    want = Counter()
+    for k, i in enumerate(ids):
+        least = min((ids[j] for j in np.flatnonzero(reach[k]) if ids[j] is not None), default=None)
+        want[i, int(link[k].sum()) - 1, least if least is not None else i, i is not None and i == least] += 1
+    for tile in (7, 4096):
+        monkeypatch.setattr(op4_pigeonhole, "TILE", tile)
+        monkeypatch.setattr(op4_pigeonhole, "AT_ONCE", 5 if tile == 7 else 1024)
+        assert counted(op4_pigeonhole.near_duplicates(df)) == want
+
+
+def test_hot_cell_makes_no_pairs(spark):
+    """What tasks return grows with the vectors of a cluster, not with its pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    for n in (100, 400):
+        reps = spark.createDataFrame([(i, (base + rng.standard_normal(16) * 0.01).tobytes(), 1) for i in range(n)], "node long, v binary, copies long")
+        found = op4_pigeonhole.links(reps, 0.95).collect()
+        assert sum(r["links"] for r in found) == n * (n - 1)
+        assert len(found) <= 8 * n
+
+
+def test_top_k(spark):
+    """Repeated ids and rows, rows without id, ties, huge and short vectors."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    v = [x.tolist() for x in rng.standard_normal((150, 8))]
+    v[20:60] = [v[20]] * 40
+    ids = [*range(150)]
+    v += [v[0], v[0], v[3], None, [1e300] * 8, [-1e300] * 8, [70_000.0] * 8, [1.0, 2.0], [], v[5]]
+    ids += [0, 0, None, 200, 201, 202, 300, 204, 205, 300]
+    df = spark.createDataFrame([(i, x, i) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>, row long").repartition(3)
+    q = [None if x is None else [max(-(1 << 27), min(1 << 27, int(np.floor(max(-1e18, min(1e18, c * 1024)))))) for c in x] for x in v]
+    rows = [k for k in range(len(v)) if ids[k] is not None and q[k] is not None]
+    want = Counter()
+    for a in rows:
+        if ids[a] % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q[a], q[b], strict=False)), ids[b]) for b in rows if b != a)[:10]
+            want.update((ids[a], n, i, -s) for n, (s, i) in enumerate(best, 1))
+    assert counted(op6_topk.top_k(df, F.col("id") % 50 == 0, chunk=3)) == want
+
+
+def test_top_k_prunes_clusters(spark):
+    """Of vectors in clusters most blocks are left out."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 32))
+    v = centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 32)) * 0.1
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    assert op6_topk.scored_share(df, F.col("id") % 100 == 0) < 0.2
