@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -54,10 +55,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     This cuts lineage: what follows no longer depends on any executor's
     shuffle files, and a nondeterministic recomputation is impossible.
     """
-    spark = df.sparkSession
+    return stored_parts(df.sparkSession, [df], name)
+
+
+def stored_parts(spark: SparkSession, parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """As ``stored``, of one or more frames of one schema, each made when the one before has been written."""
     tuned(spark)
     path = os.path.join(shared_dir(spark), "lexmill", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    for df in parts:
+        df.write.mode("append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
