@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
 Four metadata dimensions (language, source, byte size, document id) are quantised
-into eight classes each at their quantiles, the class vector becomes an index on
+into eight classes each at their quantiles (texts by the rank of their distinct
+values, weighted by their rows), the class vector becomes an index on
 a four-dimensional Hilbert curve, and the documents, ordered by that index, are
 cut into runs of equal row counts. Neighbours on the curve share ranges in every
 dimension, so min/max statistics of the shards' files prune on any of them.
@@ -11,8 +12,9 @@ earlier cells (at most 4096), plus those in earlier hash slices of its own cell,
 plus its place in its slice. A cell that holds a third of all rows is thus split
 over ``SLICES`` tasks.
 
-Nulls: a null text counts no bytes (size 1, crc32 0); null metadata sort first.
-Empty tables give no rows; repeated rows are kept and take places of their own.
+Nulls: a null text counts no bytes (size 1, crc32 0); null metadata sort first, as
+empty ones do; a null doc_id sorts as -1 and stays null. Empty tables give no rows;
+repeated rows are kept and take places of their own.
 """
 
 from __future__ import annotations
@@ -20,16 +22,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import dropped, stored, table, tuned
 
 DIMS, BITS = 4, 3
 SLICES = 1024
+#: Partitions that distinct values are ranged over.
+RANGES = 64
 
 
-def ordinal(text: Column) -> Column:
-    """The first seven bytes of a string as a number that keeps their order; null gives -1."""
-    head = F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def classes(docs: DataFrame, column: str) -> DataFrame:
+    """value and class (0 to 2**BITS - 1) of every distinct value of a text column, in order and of about equal row counts; stored.
+
+    Values are counted, ranged over partitions by their order, and ranked by the counts of
+    earlier partitions and of earlier values in their own.
+    """
+    counts = docs.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+    ranged = stored(counts.repartitionByRange(RANGES, "value").withColumn("p", F.spark_partition_id()), "op1v")
+    before = (Window.unboundedPreceding, -1)
+    # A row for each of at most RANGES partitions, or as many as the session makes of them.
+    starts = ranged.groupBy("p").agg(F.sum("n").alias("n"))
+    starts = starts.select(
+        "p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(*before)), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total")
+    )
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("value").rowsBetween(*before)), F.lit(0))
+    ranked = ranged.withColumn("own", own).join(F.broadcast(starts), "p")
+    middle = (F.col("start") + F.col("own")) * 2 + F.col("n")
+    # A value in the middle of its rows, in parts of all rows.
+    return stored(ranked.select("value", F.floor(middle * 2**BITS / (F.col("total") * 2)).cast("int").alias("class")), "op1k")
 
 
 def hilbert_index(axes: Column, dims: int = DIMS, bits: int = BITS) -> Column:
@@ -102,29 +121,31 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     Row counts of the shards are at most one apart (law ``rows``).
     """
+    tuned(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    dims = ["d0", "d1", "d2", "d3"]
-    narrow = stored(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (F.octet_length(text).cast("long") + 1).alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            ordinal(F.col("lang")).alias("d0"),
-            ordinal(F.col("source")).alias("d1"),
-        ).select("*", F.col("size").alias("d2"), F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")).alias("d3")),
-        "op1",
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
     )
+    narrow = stored(rows, "op1")
+    named = {c: classes(narrow, c).toDF(c, f"{c}_class") for c in ("lang", "source")}
+    ids = F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))
     levels = F.array(*[F.lit(i / 2**BITS) for i in range(1, 2**BITS)])
-    total, *cuts = narrow.agg(F.count("*"), *[F.percentile_approx(d, levels, F.lit(10000)) for d in dims]).first()
+    total, *cuts = narrow.agg(F.count("*"), *[F.percentile_approx(c, levels, F.lit(10000)) for c in ("size", ids)]).first()
     total, cuts = int(total), [c or [] for c in cuts]
 
     code = F.lit(0)
-    for d, c in zip(dims, cuts, strict=True):
-        code = code * 2**BITS + quantised(F.col(d), c)
+    for c in (F.col("lang_class"), F.col("source_class"), quantised(F.col("size"), cuts[0]), quantised(ids, cuts[1])):
+        code = code * 2**BITS + c
     order = F.xxhash64("doc_id", "text_crc32", "size")
-    coded = narrow.select(
-        "doc_id", "size", "text_crc32", code.alias("code"), F.pmod(order, F.lit(SLICES)).cast("int").alias("slice")
-    )
+    # A value in a third of all rows is one key of plain rows on either side, which Spark can split.
+    coded = narrow.join(named["lang"], "lang").join(named["source"], "source")
+    coded = coded.select("doc_id", "size", "text_crc32", code.alias("code"), F.pmod(order, F.lit(SLICES)).cast("int").alias("slice"))
+    coded = stored(coded, "op1c")
+    dropped(narrow)
     slices = coded.groupBy("code", "slice").agg(F.count("*").alias("n"))
     unbounded = (Window.unboundedPreceding, -1)
     cells = slices.groupBy("code").agg(F.sum("n").alias("n"))

@@ -23,14 +23,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import table
+from ._common import table, tuned
 
 #: How the tokenizer file's own split pattern reads; \s is the White_Space property there.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -250,20 +250,22 @@ def batches_of(texts: list[str], chars: int) -> Iterator[list[str]]:
 def bpe_digests(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tuned(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(public_tokenizers.path(tokenizer))
         for b in batches:
-            rows = []
-            for texts in batches_of(b["text"].tolist(), TOGETHER):
+            n, encoded, again = [], [], []
+            for texts in batches_of([t or "" for t in b.column("text").to_pylist()], TOGETHER):
                 for ids in bpe.encode_batch(texts):
-                    decoded = bpe.decode(ids).encode("utf-8")
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return cols.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                    n.append(len(ids) // 4)
+                    encoded.append(hashlib.sha256(ids).hexdigest())
+                    again.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
+            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(again, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return cols.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@
    the vocabulary is broadcast.
 2. A multinomial naive Bayes model with features hashed into ``BUCKETS`` places
    (host and path words apart) learns from all distinct urls on which a rule
-   decides, and gives the verdict on the others. Its table has a fixed size.
+   decides, and gives the verdict on the others. Its table has a fixed size. There are
+   no other labels, so it learns what the rules' hosts and paths have in common.
 
 Rules: a host, with all its subdomains, and the beginning of a path; the longest
 that fits wins.
@@ -15,8 +16,7 @@ that fits wins.
 A null url or one without ``://`` has an empty host and path; no rule fits it, and
 an empty url has the more frequent verdict. Without urls of both verdicts that
 rules decide, the one that occurs (allow, if none) is given. Repeated rows give
-repeated results; names of any length are split whole, into words of at
-most ``MOST_WORD`` letters.
+repeated results, a null page_id stays null; names and words may have any length.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import stored, table, tuned
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BUCKETS = 1 << 16
-MOST_WORD, UNKNOWN = 20, 12.0
+HEAD, UNKNOWN = 20, 12.0
 SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,10 +76,15 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     """name and the array of its words, of every distinct name."""
     total = counts.agg(F.sum("n")).first()[0] or 1
     at = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"))
-    most = F.least(F.lit(MOST_WORD), F.length("name") - F.col("start") + 1)
+    most = F.least(F.lit(HEAD), F.length("name") - F.col("start") + 1)
     subs = at.select("name", "start", F.explode(F.sequence(F.lit(1), most)).alias("len"))
     subs = subs.select("name", "start", "len", F.col("name").substr(F.col("start"), F.col("len")).alias("word"))
-    known = subs.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "len", "n")).alias("known"))
+    short = subs.join(counts, "word").select("name", "start", "len", "n")
+    # Longer words are found by their first HEAD letters, and compared whole.
+    heads = counts.where(F.length("word") > HEAD).select(F.substring("word", 1, HEAD).alias("head"), F.col("word").alias("whole"), "n")
+    long = at.where(F.length("name") - F.col("start") >= HEAD).withColumn("head", F.col("name").substr(F.col("start"), F.lit(HEAD))).join(heads, "head")
+    long = long.where(F.col("name").substr(F.col("start"), F.length("whole")) == F.col("whole")).select("name", "start", F.length("whole").alias("len"), "n")
+    known = short.unionByName(long).groupBy("name").agg(F.collect_list(F.struct("start", "len", "n")).alias("known"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -112,8 +117,11 @@ def bucket(kind: Column, word: Column) -> Column:
     return F.pmod(F.xxhash64(kind, word), F.lit(BUCKETS)).cast("int")
 
 
-def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
-    """host, path, rule and verdict of every distinct host and path."""
+def verdicts(pages: DataFrame, rules=RULES, learn: Column | None = None) -> DataFrame:
+    """host, path, rule, verdict and learned (the model's own verdict) of every distinct host and path.
+
+    The model learns from the urls that a rule decides and for which ``learn``, if given, is true.
+    """
     spark = pages.sparkSession
     urls = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
     urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -130,7 +138,7 @@ def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
 
     allow = {r for r, v in rules if v == "allow"}
     label = F.col("rule").isin(*allow).cast("int")
-    known = urls.where("rule is not null").select(label.alias("allow"), "b")
+    known = urls.where("rule is not null").where(F.lit(True) if learn is None else learn).select(label.alias("allow"), "b")
     docs = {r["allow"]: r["n"] for r in known.groupBy("allow").agg(F.count("*").alias("n")).collect()}
     weights = np.zeros(BUCKETS)
     prior = 1.0 if not docs.get(0) else -1.0
@@ -147,20 +155,21 @@ def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
         w, constant = sent.value
         for b in it:
             score = [constant if x is None else constant + w[np.asarray(x, np.int64)].sum() for x in b["b"]]
-            yield pd.DataFrame({"host": b["host"], "path": b["path"], "rule": b["rule"], "verdict": np.where(np.array(score) >= 0, "allow", "block")})
+            yield pd.DataFrame({"host": b["host"], "path": b["path"], "rule": b["rule"], "learned": np.where(np.array(score) >= 0, "allow", "block")})
 
-    out = urls.mapInPandas(judge, "host string, path string, rule string, verdict string")
+    out = urls.mapInPandas(judge, "host string, path string, rule string, learned string")
     given = F.lit(None).cast("string")
     for rule, v in rules:
         given = F.when(F.col("rule") == rule, F.lit(v)).otherwise(given)
-    return out.withColumn("verdict", F.coalesce(given, "verdict"))
+    return out.withColumn("verdict", F.coalesce(given, "learned"))
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict of every row."""
+    """page_id, host, path, rule, verdict and learned of every row."""
+    tuned(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    return own.join(verdicts(pages, rules), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
+    return own.join(stored(verdicts(pages, rules), "op5v"), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "learned")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from lexmill.llm import op3_suffix, op4_pigeonhole, op6_topk, op7_packing, op8_windows, op9_jaccard, op10_toxicity
+from lexmill.llm import op1_hilbert, op2_boundary_bpe, op3_suffix, op4_pigeonhole, op5_urls, op6_topk, op7_packing, op8_windows, op9_jaccard, op10_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, row string, h long, part long, _of long"
 
@@ -303,3 +303,113 @@ def test_top_k_prunes_clusters(spark):
     v = centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 32)) * 0.1
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
     assert op6_topk.scored_share(df, F.col("id") % 100 == 0) < 0.2
+
+
+def test_boundary_bpe(odd, rows):
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(t.decode(ids, skip_special_tokens=False).encode())] += 1
+    assert counted(op2_boundary_bpe.bpe_digests(odd)) == want
+
+
+def test_hilbert_shards(spark, odd, rows):
+    import zlib
+
+    got = op1_hilbert.shard_by_hilbert(odd, 5).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(utf8(t)) + 1, zlib.crc32(utf8(t))) for i, t in rows)
+    sizes = Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n))
+
+
+def test_shards_prune(spark):
+    """Ranges of sources (which share a long prefix), languages and sizes within the shards let predicates skip most of them."""
+    rng = random.Random(37)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 10)), rng.choice(["de", "en", "es", "fr"]), f"https://source.example/{rng.randrange(16):02d}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["shard"] for r in op1_hilbert.shard_by_hilbert(docs, 64).collect()}
+    shards = {}
+    for r in rows:
+        shards.setdefault(got[r[0]], []).append(r)
+
+    def kept(value, wanted):
+        """The share of shards whose range of a value overlaps what is wanted."""
+        low, high = wanted
+        return sum(min(map(value, s)) <= high and max(map(value, s)) >= low for s in shards.values()) / len(shards)
+
+    sources = sorted({r[3] for r in rows})
+    assert sum(kept(lambda r: r[3], (s, s)) for s in sources) / len(sources) < 0.45
+    assert sum(kept(lambda r: r[2], (x, x)) for x in ("de", "en", "es", "fr")) / 4 < 0.5
+    assert kept(lambda r: len(r[1]), (900, 1024)) < 0.5
+    assert kept(lambda r: r[0], (0, 400)) < 0.5
+
+
+def test_url_verdicts(spark):
+    """Segments and verdicts against plain Viterbi and naive Bayes."""
+    import math
+    import re
+
+    rng = random.Random(41)
+    long = "floccinaucinihilipilification"
+    words = ["cheap", "pills", "news", "the", "daily", "a", "x", long, long + "s"]
+    html = [f"<p>{' '.join(rng.choices(words, [9, 8, 7, 6, 5, 4, 3, 2, 1], k=40))}</p>" for _ in range(30)]
+    hosts = ["cheappills", "dailynews", "thedaily", long + "snews", "cheap" * 30, "q" * 40]
+    urls = [f"http://{rng.choice(hosts)}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['fr', 'en', 'de'])}/{rng.choice(hosts)}{rng.choice(words)}" for _ in range(200)]
+    urls += ["http://example.net/en/x", "http://example.com/de/y", None, "none", urls[0], urls[0]]
+    pages = [(i, u, html[i % 40] if i % 40 < 30 else None, "n") for i, u in enumerate(urls)] + [(None, urls[1], None, "n")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, name string").repartition(3)
+    counts = Counter(w for _, _, h, _ in pages for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", h or "")))
+    total = sum(counts.values())
+
+    def split(name):
+        best = [(0.0, 0)]
+        for i in range(1, len(name) + 1):
+            options = [(best[i - 1][0] + 12.0, i - 1)]
+            options += [(best[j][0] + math.log(total) - math.log(counts[name[j:i]]), j) for j in range(i) if name[j:i] in counts]
+            best.append(min(options))
+        out, i = [], len(name)
+        while i:
+            out.append(name[best[i][1] : i])
+            i = best[i][1]
+        return out[::-1]
+
+    split_url = {}
+    for u in {p[1] for p in pages}:
+        rest = (u or "").partition("://")[2]
+        host, _, path = rest.partition("/")
+        split_url[host.lower(), "/" + path if "/" in rest else ""] = None
+    for host, path in split_url:
+        split_url[host, path] = [("h", w) for n in re.findall(r"[^\W\d_]+", host) for w in split(n)] + [("p", w) for n in re.findall(r"[^\W\d_]+", path.lower()) for w in split(n)]
+
+    def rule(host, path):
+        fits = [r for r, _ in op5_urls.RULES if ("." + host).endswith("." + r.split("/")[0]) and path.startswith(r[r.index("/") :])]
+        return max(fits, key=len, default=None)
+
+    kind = dict(op5_urls.RULES)
+    seen = {"allow": Counter(), "block": Counter()}
+    docs = Counter()
+    for (host, path), features in split_url.items():
+        if r := rule(host, path):
+            seen[kind[r]].update(features)
+            docs[kind[r]] += 1
+
+    def judged(features):
+        score = math.log(docs["allow"] / docs["block"])
+        for f in features:
+            score += math.log((seen["allow"][f] + 1) / (seen["allow"].total() + op5_urls.BUCKETS)) - math.log((seen["block"][f] + 1) / (seen["block"].total() + op5_urls.BUCKETS))
+        return "allow" if score >= 0 else "block"
+
+    got = op5_urls.url_filter(df).collect()
+    assert Counter(r["page_id"] for r in got) == Counter(p[0] for p in pages)
+    for r in got:
+        want = rule(r["host"], r["path"])
+        assert (r["rule"], r["learned"]) == (want, judged(split_url[r["host"], r["path"]])), r
+        assert r["verdict"] == (kind[want] if want else r["learned"])
