@@ -37,14 +37,16 @@ def keyword_score_compat(query_terms: Column, tokens: Column) -> Column:
 
     No hit gives 0.5; every hit lowers the score.
     """
-    weight = F.lit(-0.27465307216702745)
-
     def term(q: Column) -> Column:
         f = F.size(F.filter(tokens, lambda t: t == q)).cast("double")
         return f * 2.5 / (f + 1.5)
 
-    s = F.aggregate(F.transform(query_terms, term), F.lit(0.0), lambda a, x: a + x)
-    return 1 / (1 + F.exp(-(weight * s)))
+    return keyword_score_of(F.aggregate(F.transform(query_terms, term), F.lit(0.0), lambda a, x: a + x))
+
+
+def keyword_score_of(total: Column) -> Column:
+    """The keyword score of a sum over the query's terms of 2.5 f / (f + 1.5), f being how often a term occurs."""
+    return 1 / (1 + F.exp(total * 0.27465307216702745))
 
 
 def hybrid(semantic: Column, keyword: Column, alpha: float = 0.7) -> Column:

@@ -9,17 +9,20 @@ from ..functions.text import cut_at_word
 
 
 def source_catalog(docs: DataFrame) -> DataFrame:
-    """Documents, characters, first document and a digest of the cut texts of every source."""
-    cut = F.struct("doc_id", cut_at_word(F.col("text"), 80).alias("t"))
-    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(cut)), lambda x: x["t"]), "|"))
+    """Documents, characters, first document and a digest of the cut texts of every source.
+
+    The digest is a sum over the documents, so no task holds a whole source.
+    """
+    own = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), cut_at_word(F.col("text"), 80)))
+    digest = F.sum(F.conv(F.substring(own, 1, 8), 16, 10).cast("long"))
     chars = F.sum(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))))
     return docs.groupBy("source").agg(F.count("*").alias("docs"), chars.alias("chars"), F.min("doc_id").alias("first_doc"), digest.alias("digest"))
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order; ties must be broken by the order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    best = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")
+    return df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(best).select("r.*")
 
 
 def file_duplicates(files: DataFrame) -> DataFrame:
@@ -57,18 +60,3 @@ def completeness(available: DataFrame, indexed: DataFrame, mapping: DataFrame) -
 def with_side(left: DataFrame, right: DataFrame, on: list[str], flag: str) -> DataFrame:
     """Left join with a flag that tells which rows found a partner."""
     return left.join(right.withColumn(flag, F.lit(True)), on, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-
-
-def page_errors(least: float = 0.0, most: float = 100.0) -> Column:
-    """What is wrong with a page record of the standard schema, as an array of messages."""
-    need = ["source_id", "source_type", "source_file", "page_number", "text", "title", "language", "encoding"]
-    missing = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in need]
-    ranged = F.when(~F.col("quality_score").between(least, most), F.lit("quality_score out of range"))
-    return F.array_compact(F.array(*missing, ranged, F.when(F.col("page_number") < 1, F.lit("page_number below 1"))))
-
-
-def source_properties(source: Column, title: Column) -> Column:
-    """Properties that follow from a record's source, as a map; the right side of a merge wins."""
-    base = F.create_map(F.lit("year"), F.lit("2024"))
-    own = F.when(F.contains(source, F.lit("CSWP")), F.create_map(F.lit("cswp_number"), title)).otherwise(F.create_map(F.lit("source"), source))
-    return F.map_from_entries(F.concat(F.map_entries(base), F.map_entries(own)))

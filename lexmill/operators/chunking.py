@@ -6,23 +6,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, token_estimate
 
 TARGET, LEAST, MOST = 200, 100, 256
 
+
+def cohesion(sections: Column, categories: Column, headings: Column) -> Column:
+    """1 for fewer than two blocks; else half for one section, .3 for two categories or fewer, .2 without headings. Arrays of one chunk."""
+    one = F.size(F.array_distinct(sections)) == 1
+    few = F.size(F.array_distinct(categories)) <= 2
+    plain = ~F.exists(headings, lambda h: h)
+    parts = F.when(one, 0.5).otherwise(0.0) + F.when(few, 0.3).otherwise(0.0) + F.when(plain, 0.2).otherwise(0.0)
+    return F.when(F.size(sections) < 2, 1.0).otherwise(F.round(parts, 1))
+
+
 def pack_by_structure(blocks: DataFrame, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
     """Greedy packing of a document's blocks into chunks.
 
     A chunk ends before a heading or a change of section, before a block that would
     lift it over ``most`` when it has ``least``, and once it has ``target`` and either
-    a tenth more or nine tenths of ``most``. The state is a fold over
+    a tenth more, nine tenths of ``most`` or little cohesion. The state is a fold over
     the blocks of one document, an ``aggregate`` inside the JVM.
+
+    ``blocks``: doc_id, block_idx, text, tokens, is_heading, section_title, and, if there, category and
+    piece (the place in a block that was split).
     """
-    block = "struct<block_idx:int,text:string,tokens:int,is_heading:boolean,section:string>"
-    item = F.struct("block_idx", "text", "tokens", "is_heading", F.coalesce("section_title", F.lit("")).alias("section"))
+    block = "struct<block_idx:int,piece:int,text:string,tokens:int,is_heading:boolean,section:string,category:string>"
+    category = F.col("category") if "category" in blocks.columns else F.when(F.col("is_heading"), "Title").otherwise("NarrativeText")
+    piece = F.col("piece") if "piece" in blocks.columns else F.lit(0)
+    section = F.coalesce("section_title", F.lit(""))
+    item = F.struct("block_idx", piece.alias("piece"), "text", "tokens", "is_heading", section.alias("section"), category.alias("category"))
     start = F.struct(
         F.array().cast(f"array<array<{block}>>").alias("out"),
         F.array().cast(f"array<{block}>").alias("buf"),
@@ -37,7 +53,7 @@ def pack_by_structure(blocks: DataFrame, target: int = TARGET, least: int = LEAS
         buf = F.when(before, F.array(b)).otherwise(F.concat(s["buf"], F.array(b)))
         n = F.when(before, b["tokens"]).otherwise(s["n"] + b["tokens"])
         out = F.when(before, F.concat(s["out"], F.array(s["buf"]))).otherwise(s["out"])
-        after = (n >= target) & ((n >= target * 1.1) | (n >= most * 0.9))
+        after = (n >= target) & ((n >= target * 1.1) | (n >= most * 0.9) | (cohesion_of(buf) < 0.3))
         return F.struct(
             F.when(after, F.concat(out, F.array(buf))).otherwise(out).alias("out"),
             F.when(after, F.slice(buf, 1, 0)).otherwise(buf).alias("buf"),
@@ -45,21 +61,22 @@ def pack_by_structure(blocks: DataFrame, target: int = TARGET, least: int = LEAS
             b["section"].alias("last"),
         )
 
+    def cohesion_of(c):
+        return cohesion(F.transform(c, lambda b: b["section"]), F.transform(c, lambda b: b["category"]), F.transform(c, lambda b: b["is_heading"]))
+
     def finish(s):
         return F.when(F.size(s["buf"]) > 0, F.concat(s["out"], F.array(s["buf"]))).otherwise(s["out"])
 
     chunks = blocks.groupBy("doc_id").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, finish).alias("chunks"))
     each = chunks.select("doc_id", F.posexplode("chunks").alias("chunk_id", "c"))
-    same = F.size(F.array_distinct(F.transform("c", lambda b: b["section"]))) == 1
     heading = F.exists("c", lambda b: b["is_heading"])
-    cohesion = F.when(F.size("c") < 2, 1.0).otherwise(F.when(same, 0.5).otherwise(0.0) + 0.3 + F.when(heading, 0.0).otherwise(0.2))
     return each.select(
         "doc_id",
         "chunk_id",
         F.array_join(F.transform("c", lambda b: b["text"]), "\n\n").alias("content"),
         F.aggregate("c", F.lit(0), lambda a, b: a + b["tokens"]).alias("chunk_tokens"),
         heading.alias("is_heading_block"),
-        cohesion.alias("block_cohesion"),
+        cohesion_of(F.col("c")).alias("block_cohesion"),
         F.size("c").alias("source_blocks"),
         F.get("c", F.lit(0))["section"].alias("section_title"),
     )
@@ -114,6 +131,23 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
+def window_words(words: list[str], size: int, step: int) -> list[tuple[int, int]]:
+    """First and one past the last word of windows of at most ``size`` tokens (or one word), about ``step`` tokens apart.
+
+    A word is estimated at half of 1.3 and a quarter of its letters and the blank: counted in fortieths, exactly.
+    """
+    cost = np.cumsum([26 + 5 * (len(w) + 1) for w in words])
+    out, at = [], 0
+    while at < len(words):
+        base = int(cost[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(cost, base + 40 * size, side="right")))
+        out.append((at, end))
+        if end >= len(words):
+            break
+        at = max(at + 1, int(np.searchsorted(cost, base + 40 * step, side="right")))
+    return out
+
+
 def token_windows(docs: DataFrame, size: int = 150, step: int = 30) -> DataFrame:
     """Overlapping windows of about ``size`` tokens, about ``step`` apart: doc_id, window_id, start_word, end_word."""
 
@@ -121,16 +155,7 @@ def token_windows(docs: DataFrame, size: int = 150, step: int = 30) -> DataFrame
         for b in it:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                lengths = np.array([len(w) for w in (text or "").split()], float)
-                cost = np.cumsum((1.3 + (lengths + 1) / 4) / 2)
-                at, k = 0, 0
-                while at < len(lengths):
-                    base = cost[at - 1] if at else 0.0
-                    end = max(at + 1, int(np.searchsorted(cost, base + size, side="right")))
-                    rows.append((doc, k, at, end))
-                    if end >= len(lengths):
-                        break
-                    at, k = max(at + 1, int(np.searchsorted(cost, base + step, side="right"))), k + 1
+                rows += [(doc, k, a, b) for k, (a, b) in enumerate(window_words((text or "").split(), size, step))]
             yield pd.DataFrame(rows, columns=["doc_id", "window_id", "start_word", "end_word"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, window_id int, start_word int, end_word int")

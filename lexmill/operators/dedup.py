@@ -26,25 +26,34 @@ def shingles(text: Column, n: int = 3) -> Column:
     return let(words(F.lower(text)), of)
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the first document of each distinct text."""
+    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.9, n: int = 3) -> DataFrame:
-    """Pairs (a, b, jaccard) of documents with shingle sets of at least that Jaccard similarity.
+    """Pairs (a, b, jaccard) of different texts with shingle sets of at least that Jaccard similarity.
 
-    Prefix filter in hash order: of two such sets the first ``size - ceil(t size) + 1``
-    elements of each share one, so only these are joined; sizes must fit as well.
+    Equal texts are one, by their first document (``exact_duplicates`` has the others). Prefix
+    filter in order of rarity: of two such sets the first ``size - ceil(t size) + 1`` shingles
+    of each share one, so only these are joined, and of them only those that occur twice. What
+    many texts have in common comes last and is not joined at all. Sizes must fit as well.
     """
-    s = docs.select("doc_id", shingles(F.col("text"), n).alias("s")).where(F.size("s") > 0)
-    size = F.size("s")
-    prefix = F.slice("s", F.lit(1), size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1)
-    tokens = s.select("doc_id", size.alias("n"), F.explode(prefix).alias("h"))
+    s = first_copies(docs).select("doc_id", shingles(F.col("text"), n).alias("s")).where(F.size("s") > 0)
+    each = s.select("doc_id", F.explode("s").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = each.join(counts, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t"))
+    size = F.size("t")
+    prefix = F.slice("t", F.lit(1), size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1)
+    tokens = ordered.select("doc_id", size.alias("n"), F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("x")).select("doc_id", "n", "x.h")
     b = tokens.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "h")
     a = tokens.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "h")
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
     pairs = a.join(b, "h").where(fits).select("a", "b").distinct()
     sa, sb = s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(sa, "a").join(sb, "b")
-    o = F.size(F.array_intersect("sa", "sb"))
-    j = o / (F.size("sa") + F.size("sb") - o)
-    return both.withColumn("jaccard", F.round(j, 4)).where(j >= threshold).select("a", "b", "jaccard")
+    both = pairs.join(sa, "a").join(sb, "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
+    j = F.col("o") / (F.size("sa") + F.size("sb") - F.col("o"))
+    return both.select("a", "b", j.alias("j")).where(F.col("j") >= threshold).select("a", "b", F.round("j", 4).alias("jaccard"))
 
 
 def benchmark_overlap(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:

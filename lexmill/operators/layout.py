@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def repeated_edges(pages: DataFrame, group: str, share: float = 0.5, most: int = 80) -> DataFrame:
-    """First and last non-blank lines that are on more than ``share`` of a group's pages.
+def repeated_edges(pages: DataFrame, group: str, share: float = 0.5, most: int = 80, separator: str = "\n") -> DataFrame:
+    """First and last non-blank lines (or what else is between separators) that are on more than ``share`` of a group's pages.
 
     ``pages``: the group column and text. Returns group, edge (first or last), line, n.
     """
-    full = F.filter(F.transform(T.lines(F.col("text")), T.stripped), lambda s: s != "")
+    parts = F.split("text", "\\Q" + separator + "\\E")
+    full = F.filter(F.transform(parts, T.stripped), lambda s: s != "")
     edges = pages.select(group, full.alias("f")).where(F.size("f") > 0).select(
         group, F.explode(F.array(F.struct(F.lit("first").alias("edge"), F.get("f", F.lit(0)).alias("line")), F.struct(F.lit("last").alias("edge"), F.element_at("f", -1).alias("line")))).alias("x")
     )

@@ -11,6 +11,8 @@ from ..operators import dataset as D
 from ..operators import dedup as U
 from ..operators import layout as L
 from ..operators import metrics as M
+from ..operators import refine as N
+from ..operators import search as S
 from .registry import query
 from .text_queries import BULLETS, FULL, STRIP, TOKENS, WORDS, docs  # noqa: F401
 
@@ -53,8 +55,15 @@ def section_path(spark, d):
     )
 
 
+def typed_blocks(spark, d):
+    """Blocks with their sections and categories."""
+    b = L.with_sections(L.blocks_of(docs(spark, d, "doc_id", "text")))
+    f = T.content_flags(F.col("text"))
+    return b.withColumn("category", N.enriched(F.col("is_heading"), f["in_table"], f["in_code"])["category"])
+
+
 def chunks_of(spark, d):
-    return K.pack_by_structure(L.with_sections(L.blocks_of(docs(spark, d, "doc_id", "text"))))
+    return K.pack_by_structure(typed_blocks(spark, d))
 
 
 @query("chunk_pack")
@@ -68,6 +77,17 @@ def chunk_totals(spark, d):
     return chunks_of(spark, d).groupBy("doc_id").agg(F.sum("source_blocks").alias("blocks"), F.sum("chunk_tokens").alias("tokens"))
 
 
+@query(
+    "chunk_pack_split",
+    f"SELECT doc_id, sum({WORDS})::BIGINT AS words, count(*) FILTER (WHERE {TOKENS} <= 256) AS small_blocks FROM ({BLOCKS}) GROUP BY 1",
+)
+def chunk_pack_split(spark, d):
+    """Packing after oversize blocks were split: no word is lost, and blocks that were not over the limit stay whole."""
+    pieces = N.split_oversize(typed_blocks(spark, d))
+    words = K.pack_by_structure(pieces).groupBy("doc_id").agg(F.sum(T.word_count(F.col("content"))).alias("words"))
+    return words.join(pieces.groupBy("doc_id").agg(F.count_if(~F.col("is_split")).alias("small_blocks")), "doc_id")
+
+
 @query("chunk_overlap")
 def chunk_overlap(spark, d):
     return K.with_overlap(chunks_of(spark, d)).select("doc_id", "chunk_id", F.md5("content").alias("digest"), "chunk_tokens", "overlap_applied")
@@ -91,13 +111,16 @@ def exact_dups(spark, d):
     return U.exact_duplicates(docs(spark, d, "doc_id", "text"))
 
 
+FIRST = "(SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text)"
+
+
 def _sets(n, table="documents", key="doc_id"):
     return rf"""SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS h FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '\S+') AS w FROM {table}))"""
 
 
 @query(
     "near_dups",
-    f"""WITH s AS ({_sets(3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2)
+    f"""WITH s AS ({_sets(3, FIRST)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2)
     SELECT a, b, round(o / (p.n + q.n - o), 4) AS jaccard FROM o JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE o / (p.n + q.n - o) >= 0.9""",
 )
 def near_dups(spark, d):
@@ -207,7 +230,8 @@ def answer_metrics(spark, d):
 @query("chunk_ids")
 def chunk_ids(spark, d):
     """Stable object ids: document, chunk and collection together, so that no two objects collide."""
-    return chunks_of(spark, d).select("doc_id", "chunk_id", U.deterministic_uuid(F.lit("chunk"), F.col("doc_id"), F.col("chunk_id")).alias("uuid"))
+    parts = (F.lit("chunk"), F.col("doc_id"), F.col("chunk_id"), S.collection_of(F.col("doc_id")))
+    return chunks_of(spark, d).select("doc_id", "chunk_id", U.deterministic_uuid(*parts).alias("uuid"))
 
 
 @query(

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import corpus_queries, relational_queries, search_queries, text_queries  # noqa: F401
+    from . import corpus_queries, extension_queries, record_queries, relational_queries, report_queries, search_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..functions.text import words
 from ..operators import search as S
 from ..operators.embedding import query_terms
+from ..operators.records import newest
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 8, rerank: bool = True, filters: Column | None = None, config: SearchConfig | None = None) -> DataFrame:
@@ -56,7 +57,11 @@ def search(queries: DataFrame, index: DataFrame, k: int = 8, rerank: bool = True
 
 
 def cached_answers(answers: DataFrame, asked: DataFrame, seconds: int = 3600) -> DataFrame:
-    """The newest answer of each question that is not older than its time to live. Both have ``key`` and ``ts``."""
-    w = Window.partitionBy("key").orderBy(F.desc("ts"))
-    last = answers.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").withColumnRenamed("ts", "made")
-    return asked.join(last, "key").where(F.col("ts").cast("long") - F.col("made").cast("long") < seconds)
+    """Each question with the newest answer that was there when it was asked and not older than its time to live.
+
+    Both have ``key`` and ``ts``; the answer's time is ``made``.
+    """
+    made = answers.withColumnRenamed("ts", "made")
+    age = F.col("ts").cast("long") - F.col("made").cast("long")
+    found = asked.join(made, "key").where((age >= 0) & (age < seconds))
+    return newest(found, asked.columns, "made")

@@ -64,11 +64,14 @@ def routed_search(spark, d):
     return S.nearest(asked(spark, d).withColumn("agent", agent), rows, 5).select("query_id", "agent", "id", "rank")
 
 
-TERMS = r"list_sort(list_slice(list_distinct(list_slice(regexp_extract_all(lower(text), '\S+'), 1, 6)), 1, 6))"
-TOKENS = r"regexp_extract_all(lower(d.text), '\S+')"
-KEYWORD = f"1 / (1 + exp(0.27465307216702745::DOUBLE * list_sum(list_transform(q.terms, lambda t: (len(list_filter({TOKENS}, lambda x: x = t)) * 2.5::DOUBLE) / (len(list_filter({TOKENS}, lambda x: x = t)) + 1.5::DOUBLE)))))"
-HYBRID = f"""WITH q AS (SELECT e.vec_id AS query_id, embedding AS qv, {TERMS} AS terms FROM embeddings e JOIN documents ON doc_id = vec_id WHERE e.vec_id % {ASKS} = 0),
- p AS (SELECT query_id, doc_id, {COS.format(a='q.qv', b='e.embedding')} AS semantic, {KEYWORD} AS keyword FROM q, embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+ITEM_TERMS = r"list_distinct(regexp_extract_all(lower(text), '\S+'))"
+
+
+HYBRID = rf"""WITH q AS (SELECT item_id AS query_id, {ITEM_TERMS} AS terms, embedding AS qv FROM benchmark JOIN embeddings ON vec_id = item_id),
+ t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT unnest(terms) FROM q) GROUP BY 1, 2),
+ k AS (SELECT query_id, doc_id, sum(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE)) AS s FROM (SELECT query_id, unnest(terms) AS term FROM q) JOIN c USING (term) GROUP BY 1, 2),
+ p AS (SELECT q.query_id, d.doc_id, coalesce({COS.format(a='q.qv', b='e.embedding')}, 0) AS semantic, 1 / (1 + exp(0.27465307216702745::DOUBLE * coalesce(s, 0))) AS keyword
+  FROM q CROSS JOIN documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN k ON k.query_id = q.query_id AND k.doc_id = d.doc_id),
  h AS (SELECT *, semantic * 0.7::DOUBLE + least(keyword / 5, 1.0::DOUBLE) * 0.3::DOUBLE AS final FROM p)"""
 
 
@@ -78,23 +81,30 @@ HYBRID = f"""WITH q AS (SELECT e.vec_id AS query_id, embedding AS qv, {TERMS} AS
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, doc_id)::INT AS rank FROM h) WHERE rank <= 10""",
 )
 def hybrid_search(spark, d):
-    """Top 10 of each query by 0.7 of the cosine and 0.3 of the keyword score; the query's words are the first of its document."""
-    e = embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")).join(docs(spark, d, "doc_id", "text"), "doc_id")
-    terms = F.array_sort(F.array_distinct(F.slice(words(F.lower("text")), 1, 6)))
-    q = e.where(F.col("doc_id") % ASKS == 0).select(F.col("doc_id").alias("query_id"), F.col("v").alias("qv"), terms.alias("terms"))
-    rows = e.withColumn("tokens", words(F.lower("text"))).drop("text")
-    out = None
-    for block in S.in_query_blocks(q):
-        p = rows.crossJoin(F.broadcast(block)).withColumn("semantic", V.cosine(F.col("qv"), F.col("v")))
-        p = p.withColumn("keyword", V.keyword_score_compat(F.col("terms"), F.col("tokens"))).select("query_id", "doc_id", "semantic", "keyword")
-        p = p.withColumn("final", V.hybrid(F.col("semantic"), F.col("keyword")))
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("final", 9)), "doc_id")
-        best = p.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-        out = best if out is None else out.unionByName(best)
-    return out.select("query_id", "doc_id", "rank", *[F.round(c, 4).alias(c) for c in ("semantic", "keyword", "final")])
+    """Top 10 of all documents for each benchmark item (its whole text, and the vector of its number) by 0.7 of the cosine and 0.3 of the keyword score.
 
-
-ITEM_TERMS = r"list_distinct(regexp_extract_all(lower(text), '\S+'))"
+    A stated query set against all rows. The keyword part comes from the postings of the queries' terms, counted
+    before they meet the queries; a document without a vector has no semantic score, one without a hit that of no hit.
+    """
+    e = embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.array_distinct(words(F.lower("text"))).alias("terms"))
+    q = items.join(e.select(F.col("doc_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    all_docs = docs(spark, d, "doc_id", "text")
+    terms = q.select("query_id", F.explode("terms").alias("term"))
+    own = all_docs.select("doc_id", F.explode(words(F.lower("text"))).alias("term")).join(terms.select("term").distinct(), "term")
+    weight = F.col("tf") * 2.5 / (F.col("tf") + 1.5)
+    counts = own.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", weight.alias("x"))
+    hits = counts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("x").alias("x"))
+    rows = all_docs.select("doc_id").join(e, "doc_id", "left")
+    out = None
+    for block in S.in_query_blocks(q.select("query_id", "qv")):
+        near = rows.crossJoin(F.broadcast(block)).select("query_id", "doc_id", F.coalesce(V.cosine(F.col("qv"), F.col("v")), F.lit(0.0)).alias("semantic"))
+        out = near if out is None else out.unionByName(near)
+    p = out.join(hits, ["query_id", "doc_id"], "left").withColumn("keyword", V.keyword_score_of(F.coalesce("x", F.lit(0.0))))
+    p = p.withColumn("final", V.hybrid(F.col("semantic"), F.col("keyword")))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("final", 9)), "doc_id")
+    best = p.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    return best.select("query_id", "doc_id", "rank", *[F.round(c, 4).alias(c) for c in ("semantic", "keyword", "final")])
 
 
 @query(

@@ -17,6 +17,7 @@ def docs(spark, d, *cols) -> DataFrame:
 WORDS = r"len(regexp_extract_all(text, '\S+'))"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+PLAIN = "replace(replace(replace(text, chr(173), ''), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
 NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
  '\r', '', 'g'), '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g'), '\n{3,}', chr(10)||chr(10), 'g'), '([^\n])\n([^\n])', '\1 \2', 'g'),
  '[ \t]+', ' ', 'g'), '[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g')"""
@@ -29,7 +30,7 @@ def text_normalize(spark, d):
     return docs(spark, d, "doc_id", "text").select("doc_id", F.md5(t).alias("digest"), F.length(t).cast("long").alias("n_chars"))
 
 
-@query("text_plain", f"SELECT doc_id, md5({COLLAPSE.format('text')}) AS digest FROM documents")
+@query("text_plain", f"SELECT doc_id, md5({COLLAPSE.format(PLAIN)}) AS digest FROM documents")
 def text_plain(spark, d):
     return docs(spark, d, "doc_id", "text").select("doc_id", F.md5(T.plain(F.col("text"))).alias("digest"))
 
@@ -141,17 +142,18 @@ def doc_type(spark, d):
 
 BULLETS, NUMBERS = r"regexp_matches(text, '(?m)^\s*[*\-+•]\s+')", r"regexp_matches(text, '(?m)^\s*\d+\.\s+')"
 CODE, URLS = r"regexp_matches(text, '(?m)```|`[^`]+`|^\s{4,}\w')", r"regexp_matches(text, 'https?://|www\.')"
-EMAIL = r"regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b')"
+EMAIL = r"regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')"
 
 
 @query(
     "content_flags",
     rf"""SELECT doc_id, {BULLETS} AS bullets, {NUMBERS} AS numbered, {CODE} AS code, {URLS} AS urls, {EMAIL} AS email,
-    contains(text, '│') OR (contains(text, chr(9)) AND contains(text, '|')) AS in_table, regexp_matches(text, '(?m)^\s*[-•*]\s') AS in_list,
+    len(t) < 100 AND ((upper(text) = text AND lower(text) <> text) OR len(list_filter([{', '.join(map(repr, T.HEADING_STARTS))}], lambda s: starts_with(t, s))) > 0) AS is_heading,
+    contains(text, '│') OR (contains(text, chr(9)) AND len(text) - len(replace(text, '|', '')) > 2) AS in_table, regexp_matches(text, '^\s*[-•*]\s') OR regexp_matches(text, '(?m)^\s*\d+\.\s') AS in_list,
     contains(text, '```') OR regexp_matches(text, '(?m)^\s*(def|class|import|from)\s') OR regexp_matches(text, '[{{}}();].*[{{}}();]') AS in_code,
     contains(lower(text), 'fig') AND (contains(lower(text), 'caption') OR contains(lower(text), 'figure')) AS is_figure,
     starts_with({STRIP.format('text')}, '"') AND ends_with({STRIP.format('text')}, '"') AS is_quote,
-    regexp_matches(text, '\[\d+\]|\(\d{{4}}\)|\bet al\.') AS is_reference FROM documents""",
+    regexp_matches(text, '\[\d+\]|\(\d{{4}}\)|\bet al\.') AS is_reference FROM (SELECT *, {STRIP.format('text')} AS t FROM documents)""",
 )
 def content_flags(spark, d):
     t = F.col("text")
@@ -207,7 +209,7 @@ def title_guess(spark, d):
     "catalog",
     rf"""WITH b AS (SELECT doc_id, lang, source, {COLLAPSE.format('text')} AS t FROM documents)
     SELECT source, count(*) AS docs, sum(len(t))::BIGINT AS chars, min(doc_id) AS first_doc,
-    md5(string_agg(CASE WHEN len(t) > 80 THEN regexp_replace(t[:80], ' [^ ]*$', '') || '...' ELSE t END, '|' ORDER BY doc_id)) AS digest FROM b GROUP BY source""",
+    sum(('0x' || substr(md5(doc_id || ':' || CASE WHEN len(t) > 80 THEN regexp_replace(t[:80], ' [^ ]*$', '') || '...' ELSE t END), 1, 8))::BIGINT)::BIGINT AS digest FROM b GROUP BY source""",
 )
 def catalog(spark, d):
     from ..operators.catalog import source_catalog
@@ -260,11 +262,12 @@ def sentence_split(spark, d):
 
 @query(
     "source_routes",
-    "SELECT CASE WHEN contains(upper(source), 'NIST') THEN 'NIST_OTHER' ELSE 'OTHER' END AS category, source, count(*) AS n, sum(CASE WHEN contains(lower(text), 'impact') THEN 1 ELSE 0 END)::BIGINT AS impact FROM documents GROUP BY ALL",
+    "SELECT source, tactic, count(*) AS n FROM (SELECT source, coalesce((list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{x.lower()}') THEN '{x}' END" for x in T.TACTICS)
+    + "], lambda x: x IS NOT NULL))[1], 'General') AS tactic FROM documents) GROUP BY ALL",
 )
 def source_routes(spark, d):
-    t = docs(spark, d, "source", "text")
-    return t.groupBy(T.source_category(F.col("source")).alias("category"), "source").agg(F.count("*").alias("n"), F.count_if(T.tactic(F.col("text")) == "Impact").alias("impact"))
+    """Texts by source and by the first of the twelve tactics they name."""
+    return docs(spark, d, "source", "text").groupBy("source", T.tactic(F.col("text")).alias("tactic")).agg(F.count("*").alias("n"))
 
 
 @query("line_clean")

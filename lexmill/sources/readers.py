@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,26 +41,49 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     return rows.withColumn("file", F.col("_metadata.file_path"))
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of all files under a folder, empty ones too, which Spark's readers leave out."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    found, rows = at.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        if not re.match(r"[._]", f.getPath().getName()):
+            rows.append((f.getPath().toString(), f.getLen()))
+    return spark.createDataFrame(rows, "path string, length long")
+
+
 def json_file_checks(spark: SparkSession, path: str, least_chars: int = 20) -> DataFrame:
     """Per file: pages, characters of text, and the reason why it is not valid (null if it is)."""
-    rows = json_lines(spark, path, "text string")
+    local = lambda c: F.regexp_replace(c, "^file:/+", "file:///")
+    rows = json_lines(spark, path, "text string").withColumn("file", local(F.col("file")))
     n = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))
-    out = rows.groupBy("file").agg(F.count("*").alias("pages"), F.sum(n).alias("chars"))
+    counts = rows.groupBy("file").agg(F.count("*").alias("pages"), F.sum(n).alias("chars"))
+    # From the listing, as a file without rows has no group.
+    files = listing(spark, path).select(local(F.col("path")).alias("file"))
+    out = files.join(counts, "file", "left").fillna(0, ["pages", "chars"])
     return out.withColumn("reason", F.when(F.col("pages") == 0, "no pages").when(F.col("chars") < least_chars, "too little text"))
 
 
 def questions(spark: SparkSession, path: str, title: str = "Titulo", body: str = "Cuerpo", start: int = 0, n: int | None = None) -> DataFrame:
     """Rows of a semicolon-separated table with title and body, the question made of both, and their place.
 
-    A slice keeps rows start to start + n - 1 of the file's order.
+    A slice keeps the records start to start + n - 1 of each file. Positions are counted while a file is read
+    whole, in one task, so that neither splits nor the reader's order decide them.
     """
-    raw = spark.read.option("sep", ";").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    file, at = F.col("_metadata.file_path"), F.monotonically_increasing_id()
-    raw = raw.withColumn("_file", file).withColumn("_at", at)
-    if n is not None:
-        raw = raw.orderBy("_file", "_at").offset(start).limit(n)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    names = spark.read.option("sep", ";").option("header", True).csv(path).columns
+    stop = None if n is None else start + n
+
+    def run(batches):
+        for b in batches:
+            for content in b["content"]:
+                records = csv.DictReader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""), delimiter=";")
+                yield pd.DataFrame([{c: r.get(c) for c in names} for r in islice(records, start, stop)], columns=names)
+
+    raw = files.mapInPandas(run, T.StructType([T.StructField(c, T.StringType()) for c in names]))
     ok = (F.coalesce(F.trim(title), F.lit("")) != "") & (F.coalesce(F.trim(body), F.lit("")) != "")
-    return raw.where(ok).withColumn("question", F.concat_ws("\n\n", F.col(title), F.col(body))).drop("_file", "_at")
+    return raw.where(ok).withColumn("question", F.concat_ws("\n\n", F.col(title), F.col(body)))
 
 
 def raw_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.records import newest
 from ..functions.text import normalised, quality_flags, token_estimate
 
 
@@ -19,15 +21,43 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return t.withColumn("flags", quality_flags(F.col("text"))).withColumn("tokens", token_estimate(F.col("text")))
 
 
-def upsert(stream: DataFrame, out: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Each micro-batch goes to a folder of its own, named by its number: a repeated batch replaces itself."""
+def upsert(stream: DataFrame, out: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 16) -> StreamingQuery:
+    """Keep one row a key, the last by ``order``, however often it comes and in whichever micro-batch.
+
+    Keys are hashed into buckets. A batch writes a new version of the buckets it touches, named by
+    its number: the rows of the version before it and its own, the newest of each key. A batch that
+    is repeated replaces its own version. ``current`` reads the latest version of every bucket.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        b = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in b.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        if number > 0:
+            before = current(spark, out, below=number)
+            if before is not None:
+                b = b.unionByName(before.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).where(F.col("bucket").isin(touched)))
+        rows = newest(b, keys, *order)
+        for_bucket = rows.withColumn("version", F.lit(number))
+        for_bucket.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(out)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, out: str, below: int | None = None) -> DataFrame | None:
+    """The rows of the latest version (before ``below``) of every bucket of an upserted table; None if there is none yet."""
+    try:
+        rows = spark.read.parquet(out)
+    except AnalysisException:
+        return None
+    if below is not None:
+        rows = rows.where(F.col("version") < below)
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(last, ["bucket", "version"]).drop("bucket", "version")
+
+
 def first_seen(stream: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
     """Rows whose keys did not occur within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
