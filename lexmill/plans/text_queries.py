@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import DataFrame
 
 from ..functions import text as T
+from ..session import spread
 from .registry import query
 
 
 def docs(spark, d, *cols) -> DataFrame:
     df = spark.read.parquet(f"{d}/documents.parquet")
-    return df.select(*cols) if cols else df
+    if cols and all(isinstance(c, str) for c in cols):
+        df = df.select(*cols)
+        return spread(df) if "text" in cols else df
+    return spread(df).select(*cols) if cols else spread(df)
 
 
 WORDS = r"len(regexp_extract_all(text, '\S+'))"

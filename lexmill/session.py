@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, app: str = "lexmill") -> SparkSession:
@@ -21,3 +21,12 @@ def local_session(cores: int | None = None, app: str = "lexmill") -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files give less than half of them work: a file of one row group is one task.
+
+    A table of many row groups stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
