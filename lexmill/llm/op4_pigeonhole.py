@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ._common import dropped, stored, table, tuned
 from ._components import components, forest
 
-WIDTH, TILE, AT_ONCE = 8, 4096, 1024
+WIDTH, TILE, AT_ONCE = 8, 8192, 1024
 #: Added to every share: far above the rounding errors of double precision, far below any distance that matters.
 SLACK = 1e-9
 #: What a row does in its cell: lives and asks there (in a small cell), asks from another cell, only lives, asks from the same cell.
@@ -164,7 +164,7 @@ def links_of_tile(g: pd.DataFrame, t: float) -> pd.DataFrame:
 def links(reps: DataFrame, t: float) -> DataFrame:
     """Parts of the number of links of each node, and a graph with the components of the links; see ``links_of_tile``. Stored."""
     n = reps.count()
-    grid = min(4, max(1, math.ceil(math.log(max(1, n) / 2000 + 1, 3))))
+    grid = min(4, max(1, math.ceil(math.log(max(1, n) / 20_000 + 1, 3))))
     key = ["block", "d", "cell"]
     # How many live in a cell and how many ask there, of cells of more than a tile.
     counts = cells_of(reps, t, grid, whole=False).groupBy(*key).agg(
