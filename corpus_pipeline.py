@@ -43,7 +43,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Model scores and tokens are beyond SQL; tests compare the stages with brute force.
+#: Model scores and tokens are beyond SQL; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
 
 
