@@ -134,20 +134,22 @@ def links_of_tile(g: pd.DataFrame, t: float) -> pd.DataFrame:
     parts = shares(d, t)
     lo, hi, share = parts[block]
     n_links, edges = np.zeros(len(g), np.int64), []
+    y = x[:, lo:hi]
+    square, one = (y * y).sum(1)[:, None], np.ones((len(y), 1))
+    # Their product is the squared distance in the block.
+    left, right = np.hstack([-2 * y, square, one]), np.hstack([y, one, square])
     for i in range(0, len(asks), AT_ONCE):
         a = asks[i : i + AT_ONCE]
         xa = x[a]
-        ya = xa[:, lo:hi]
         for j in range(0, len(lives), AT_ONCE):
             b = lives[j : j + AT_ONCE]
+            p, q = np.nonzero(left[a] @ right[b].T <= share + SLACK)
+            once = (role[a[p]] == ASKS) | (node[a[p]] < node[b[q]])  # in its own cell a pair meets twice
+            p, q = p[once], q[once]
             xb = x[b]
-            yb = xb[:, lo:hi]
-            dist = (ya * ya).sum(1)[:, None] + (yb * yb).sum(1)[None, :] - 2 * (ya @ yb.T)
-            near = dist <= share + SLACK
-            near &= np.where((role[a] != ASKS)[:, None], node[a][:, None] < node[b][None, :], True)  # in its own cell a pair meets twice
-            if not near.any():
-                continue
-            p, q = np.nonzero(near & (xa @ xb.T >= t))
+            # Few pairs are compared one by one, many by a product of all.
+            cosine = (xa[p] * xb[q]).sum(1) if 16 * len(p) < len(a) * len(b) else (xa @ xb.T)[p, q]
+            p, q = p[cosine >= t], q[cosine >= t]
             mine = within(xa[p], xb[q], lo, hi, share)
             for lo2, hi2, share2 in parts[:block]:
                 mine[mine] = ~within(xa[p[mine]], xb[q[mine]], lo2, hi2, share2)
