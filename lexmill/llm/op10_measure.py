@@ -17,7 +17,7 @@ from ._common import table
 
 #: Settings compared, each against the module's own.
 SETTINGS = (
-    {}, {"SEGMENT": 16}, {"SEGMENT": 32, "UNIT": 8}, {"SIGNIFICANT": 2.5}, {"SIGNIFICANT": 3.5}, {"WORDS": 6, "STEP": 3}, {"WORDS": 12, "STEP": 6},
+    {}, {"SEGMENT": 16}, {"SEGMENT": 32, "UNIT": 8}, {"CHANCE": 1}, {"CHANCE": 30}, {"LIFT": 1.5}, {"WORDS": 6, "STEP": 3}, {"WORDS": 12, "STEP": 6},
     {"LEVEL": 3}, {"COMMON": 0}, {"BEYOND": (2, 4, 6)},
 )
 

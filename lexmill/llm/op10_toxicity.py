@@ -2,11 +2,14 @@
 
 Both dictionaries begin with the commonest words of ordinary text, so that what is
 common costs the same under either. What follows is trained by zstandard (its COVER
-trainer) on contrasting text: the toxic one on words that are in significantly more
-toxic texts than their texts' lengths let expect, each as often as toxic texts have
-it; the ordinary one on as much of the words that are in significantly fewer. The
-trainer keeps the pieces that these words share, so it also knows forms of a word
-that it has not seen. All labelled texts are counted, in Spark.
+trainer) on contrasting text: the toxic one on words that are in at least ``LIFT``
+times as many toxic texts as their texts' lengths let expect, with so much evidence
+that about ``CHANCE`` of all words have it by chance, each as often as toxic texts
+have it; the ordinary one on as much of the words that are in significantly fewer.
+Near copies, told by the least hash of their runs of words, count as one text: the
+words of one toxic text with many near copies are not toxic words. The trainer
+keeps the pieces that these words share, so it also knows forms of a word that it
+has not seen. All labelled texts are counted, in Spark.
 
 Every window of eight words (half overlapping) is compressed with each dictionary;
 what the toxic one saves, in bytes, is the window's difference. The features are the
@@ -15,7 +18,7 @@ to the shares of ordinary texts as if ``PRIOR`` of their windows were added. Sha
 not rise with the length of a text, as its largest differences do. A logistic
 model turns their logarithms into a score from 0 to 1. It is calibrated by
 cross-fitting: the texts of each of ``FOLDS`` folds are measured with dictionaries
-of the others, and so are new to them. A score of 0.5 is not a probability but the
+of the others, and so are new to them; near copies are in one fold. A score of 0.5 is not a probability but the
 point where most toxic texts of these folds are at or above it while at most
 ``CLEAN_LOSS`` of the ordinary ones are.
 
@@ -33,6 +36,7 @@ score is 0. Repeated rows give repeated results; an empty table gives none.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -43,32 +47,35 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ._common import dropped, held_out_column, stored, table, tuned
 from ._repeats import bitmap, has_ids, hashed_ids, ids_of
 
 MAX_TRAIN, FOLDS, CLEAN_LOSS = 6_000, 4, 0.02
 WORDS, STEP, LEVEL = 8, 4, 9
-#: Words both dictionaries share; significance (in standard deviations) of own words, toxic and ordinary; most of these.
-COMMON, SIGNIFICANT, SELDOM, MOST_OWN = 1500, 3.0, -1.5, 1500
+#: Words both dictionaries share; words that may be the toxic one's own by chance; significance of the ordinary one's (in standard deviations); most own words.
+COMMON, CHANCE, SELDOM, MOST_OWN = 1500, 10, -1.5, 1500
+#: Own words are in so many times as many toxic texts as expected (the ordinary one's: so many times fewer), however many texts there are.
+LIFT = 2
+#: Words of a run whose least hash tells near copies; one word in so many begins runs.
+RUN, BEGIN = 5, 8
 #: Bytes of a trained dictionary, of its segments, of what the trainer counts; words it sees.
 TRAINED, SEGMENT, UNIT, SAMPLES = 8192, 24, 6, 4_000
-#: Texts a word must be in; in fewer it is never significant.
+#: Weight of the texts a word must be in; in fewer it is never significant.
 LEAST_TEXTS = 4
 #: Differences whose shares count; windows of ordinary text added to each; least share told apart.
 BEYOND, PRIOR, LEAST_SHARE = (1, 3, 5), 5, 1e-3
 
 
-def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, h, toxic and stratum (of length) of every distinct labelled text: one row each, without the text."""
-    known = labels.where(~held_out_column() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.where(F.length("text") >= 1).select("doc_id", F.xxhash64("text").alias("h"), F.floor(F.log2(F.length("text"))).cast("int").alias("stratum"))
-    distinct = texts.join(known.hint("merge"), "doc_id").groupBy("h").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.max("toxic").alias("toxic"), F.min("stratum").alias("stratum"))
-    return stored(distinct, "op10t")
+def sketch() -> F.Column:
+    """The least hash of the text's runs of ``RUN`` words, of those that begin with one of a hashed part of all words; near copies nearly always share it."""
+    words = F.split("text", r"(?U)\s+")
+    runs = let(words, lambda w: F.transform(w, lambda x, i: F.when(F.pmod(F.hash(x), F.lit(BEGIN)) == 0, F.xxhash64(F.slice(w, i + 1, RUN)))))
+    return F.coalesce(F.array_min(runs), F.xxhash64("text"))
 
 
-def with_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``chosen`` with the texts; only rows whose doc_id a bitmap has are shuffled."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+def only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose doc_id a bitmap of ``chosen`` has: all of these, and few others."""
     hashed = hashed_ids(chosen, "doc_id")
     ids = bitmap(hashed)
     dropped(hashed)
@@ -78,41 +85,65 @@ def with_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         for b in it:
             yield b.filter(pa.array(has_ids(own, ids_of(b.column("doc_id")))))
 
-    texts = texts.mapInArrow(known, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return texts.mapInArrow(known, "doc_id long, text string")
+
+
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, h, toxic, stratum (of length), sketch and weight of every distinct labelled text: one row each, without the text. Texts of one sketch weigh one together."""
+    known = labels.where(~held_out_column() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = stored(known, "op10k")
+    texts = only(docs.where(F.length("text") >= 1), known)
+    texts = texts.select("doc_id", F.xxhash64("text").alias("h"), F.floor(F.log2(F.length("text"))).cast("int").alias("stratum"), sketch().alias("sketch"))
+    distinct = texts.join(known.hint("merge"), "doc_id").groupBy("h").agg(
+        F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.max("toxic").alias("toxic"), F.min("stratum").alias("stratum"), F.min("sketch").alias("sketch")
+    )
+    distinct = stored(distinct, "op10d")
+    alike = distinct.groupBy("sketch").agg((1 / F.count("*")).alias("weight"))
+    out = stored(distinct.join(alike.hint("merge"), "sketch"), "op10t")
+    dropped(known, distinct)
+    return out
+
+
+def with_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen`` with the texts; only rows whose doc_id a bitmap has are shuffled."""
+    texts = only(docs, chosen).withColumn("h", F.xxhash64("text"))
     # The same join at every size.
     return texts.join(chosen.hint("merge"), ["doc_id", "h"])
 
 
 def fold() -> F.Column:
-    return F.pmod(F.col("h"), F.lit(FOLDS))
+    """Near copies are in one fold."""
+    return F.pmod(F.col("sketch"), F.lit(FOLDS))
 
 
 def word_counts(docs: DataFrame, chosen: DataFrame, rates: dict[int, float]) -> DataFrame:
-    """Of each word: how many ordinary and toxic texts have it (``n``, ``t``) and its significance ``z``, each without one fold (the last: in all).
-
-    The significance is that of the number of toxic texts with the word against
-    what the toxic shares of texts of their lengths let expect.
-    """
+    """Sums of each word, over the texts of each fold that have it: the weight of ordinary and toxic ones (``n``, ``t``), the difference of toxic and expected ones (``d``) and its variance (``v``)."""
     expected = F.element_at(F.create_map(*[F.lit(x) for r in rates.items() for x in r]), F.col("stratum"))
-    rows = with_text(docs, chosen).select(fold().alias("fold"), "toxic", expected.alias("e"), F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
+    rows = with_text(docs, chosen).select(fold().alias("fold"), "toxic", "weight", expected.alias("e"), F.explode(F.array_distinct(F.split("text", r"(?U)\s+"))).alias("word"))
     columns = (("d", F.col("toxic") - F.col("e")), ("v", F.col("e") * (1 - F.col("e"))), ("t", F.col("toxic")), ("n", 1 - F.col("toxic")))
-    sums = [F.sum(F.when(F.col("fold") == k, x)).alias(f"{c}{k}") for k in range(FOLDS) for c, x in columns]
-    counts = rows.where("word <> ''").groupBy("word").agg(F.count("*").alias("texts"), *sums).where(F.col("texts") >= LEAST_TEXTS)
+    sums = [F.sum(F.when(F.col("fold") == k, x * F.col("weight"))).alias(f"{c}{k}") for k in range(FOLDS) for c, x in columns]
+    counts = rows.where("word <> ''").groupBy("word").agg(F.sum("weight").alias("texts"), *sums).where(F.round("texts", 6) >= LEAST_TEXTS)
+    return stored(counts.select("word", *(F.coalesce(f"{c}{k}", F.lit(0.0)).alias(f"{c}{k}") for k in range(FOLDS) for c, _ in columns)), "op10w")
 
-    def others(c: str, left_out: int):
-        return sum((F.coalesce(f"{c}{k}", F.lit(0)) for k in range(FOLDS) if k != left_out), F.lit(0))
 
-    out = ["word"]
-    for k in range(FOLDS + 1):
-        # Rounded, so that the order of the sums does not matter.
-        out.append(F.round(others("d", k) / F.sqrt(others("v", k) + 1), 6).alias(f"z{k}"))
-        out += [others(c, k).cast("long").alias(f"{c}{k}") for c in "tn"]
-    return stored(counts.select(*out), "op10w")
+def without_fold(words: DataFrame, left_out: int) -> DataFrame:
+    """Of each word: the weight of ordinary and toxic texts that have it (``n``, ``t``), of the toxic ones expected (``e``), its significance ``z`` and evidence ``s``, without one fold (the last: in all).
+
+    Significance and evidence are those of the toxic texts with the word against
+    what the toxic shares of texts of their lengths let expect. By chance, about one word in
+    exp(s) has evidence of s or more.
+    """
+    sums = words.select("word", *(F.round(sum((F.col(f"{c}{k}") for k in range(FOLDS) if k != left_out), F.lit(0.0)), 6).alias(c) for c in "dvtn"))
+    t, e = F.col("t"), F.col("t") - F.col("d")
+    evidence = F.when((t > 0) & (e > 0), t * F.log(t / e)).otherwise(0.0) - (t - e)
+    # Rounded, so that the order of the sums does not matter.
+    return sums.select("word", "n", "t", e.alias("e"), F.round(F.col("d") / F.sqrt(F.col("v") + 1), 6).alias("z"), F.round(evidence, 6).alias("s"))
 
 
 def first_words(words: DataFrame, *order, most: int, count: str) -> list[tuple[str, int]]:
     """The first words in an order, each with a count; at most ``most``."""
-    return [(r["word"], r[count]) for r in words.orderBy(*order, "word").limit(most).select("word", count).collect()]
+    return [(r["word"], round(r[count])) for r in words.orderBy(*order, "word").limit(most).select("word", count).collect()]
 
 
 def trained(words: list[tuple[str, int]], samples: int) -> bytes:
@@ -129,11 +160,11 @@ def trained(words: list[tuple[str, int]], samples: int) -> bytes:
     return out if most in out else b"".join(dict.fromkeys(texts))
 
 
-def dictionaries(words: DataFrame, common: list[str], left_out: int, most: int = MOST_OWN) -> tuple[bytes, bytes, int]:
-    """The contents of the ordinary and of the toxic dictionary, and how many words the toxic one was trained on."""
-    z = F.col(f"z{left_out}")
-    own = first_words(words.where(z >= SIGNIFICANT), z.desc(), most=most, count=f"t{left_out}")
-    other = first_words(words.where(z <= SELDOM), z, most=len(own), count=f"n{left_out}") if own else []
+def dictionaries(words: DataFrame, common: list[str], left_out: int, least: float, most: int = MOST_OWN) -> tuple[bytes, bytes, int]:
+    """The contents of the ordinary and of the toxic dictionary, and how many words (of that evidence at least) the toxic one was trained on."""
+    words = without_fold(words, left_out)
+    own = first_words(words.where((F.col("s") >= least) & (F.col("t") >= LIFT * F.col("e"))), F.col("z").desc(), most=most, count="t")
+    other = first_words(words.where((F.col("z") <= SELDOM) & (LIFT * F.col("t") <= F.col("e"))), F.col("z"), most=len(own), count="n") if own else []
     left = {w for w, _ in own}
     shared = [w for w in common if w not in left][:COMMON]
     # The best last: near the window, where matches cost least.
@@ -219,11 +250,11 @@ class Model:
             return
         rates = {k: (t + toxic / total) / (n + 1) for k, (t, n) in strata.items()}
         words = word_counts(docs, chosen, rates)
-        n = f"n{FOLDS}"
-        common = [w for w, _ in first_words(words, F.col(n).desc(), most=COMMON + MOST_OWN, count=n)]
-        parts = [dictionaries(words, common, k) for k in range(FOLDS)]
+        common = [w for w, _ in first_words(without_fold(words, FOLDS), F.col("n").desc(), most=COMMON + MOST_OWN, count="n")]
+        least = math.log(max(1, words.count() / CHANCE))
+        parts = [dictionaries(words, common, k, least) for k in range(FOLDS)]
         # No larger than those that are calibrated: larger ones would save more on any text.
-        self.final = dictionaries(words, common, FOLDS, max(m for _, _, m in parts))[:2]
+        self.final = dictionaries(words, common, FOLDS, least, max(m for _, _, m in parts))[:2]
 
         how = windowing()
 

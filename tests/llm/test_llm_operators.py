@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import struct
 import zlib
@@ -374,3 +375,24 @@ def test_toxicity_of_a_rare_language(spark):
     assert sum(got[i]["predicted"] for i in rare) >= 0.9 * len(rare) > 0
     assert sum(got[i]["predicted"] for i in plain) >= 0.9 * len(plain)
     assert sum(got[i]["predicted"] for i in clean) <= 0.05 * len(clean)
+
+
+def test_toxicity_of_near_copies_and_common_words(spark):
+    """Words of one toxic text's near copies, and common words that toxic texts have a little oftener, are not toxic words."""
+    r = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("ka", "le", "mi", "no", "pu", "ra", "si") for b in ("ba", "de", "fi", "go", "hu") for c in ("n", "r", "t", "l")]
+    copied = [f"zyx{k}q" for k in range(40)]
+    rows = []
+    for i in range(2000):
+        toxic = i % 10 == 0
+        text = [r.choice(words) for _ in range(60)] + [w for w in ("the", "of", "and") if r.random() < (0.95 if toxic else 0.6)]
+        if toxic:
+            text += r.sample(["scumbag", "moronic", "idiotic"], 2)
+            if i % 100 == 0:
+                text = [f"x{i}", *copied, *words[:60], f"y{i}"]
+        rows.append((i, " ".join(text), int(toxic)))
+    docs, lab = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    ordinary, toxic = op10_toxicity.fit(docs, lab)[:2]
+    own = toxic[len(os.path.commonprefix([ordinary, toxic])) :]
+    assert b"scumbag" in own and b"moronic" in own and b"idiotic" in own
+    assert b"zyx" not in own and b" the " not in own and b" and " not in own
