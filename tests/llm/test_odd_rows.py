@@ -271,6 +271,35 @@ def test_hot_cell_makes_no_pairs(spark):
         assert len(found) <= 8 * n
 
 
+def test_pigeonhole_moves_few_copies_at_once(spark, monkeypatch):
+    """Of evenly spread vectors, a round holds few copies of each; in all rounds, each pair of rows of one length meets once, and all links are found."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    v = [*rng.standard_normal((300, 16)), *rng.standard_normal((40, 3))]
+    v += [v[k] + rng.standard_normal(16) * 0.1 for k in range(50)]
+    reps = spark.createDataFrame([(i, x.tobytes(), 1) for i, x in enumerate(v)], "node long, v binary, copies long")
+    monkeypatch.setattr(op4_pigeonhole, "TILE", 30)
+    monkeypatch.setattr(op4_pigeonhole, "ROUND_BYTES", 0)
+    met = Counter()
+    for part in op4_pigeonhole.rounds(reps):
+        rows = part.drop("v").collect()
+        assert max(Counter(r["node"] for r in rows).values()) <= 2
+        pairs = {}
+        for r in rows:
+            pairs.setdefault((r["d"], r["i"], r["j"]), []).append((r["node"], r["side"]))
+        for some in pairs.values():
+            met.update((a, b) if a < b else (b, a) for a, x in some for b, y in some if (x, y) == (0, 1) or x == y == 2 and a < b)
+    assert met == Counter((a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if len(v[a]) == len(v[b]))
+    links = [(a, b) for a, b in met if v[a] @ v[b] >= 0.95 * np.linalg.norm(v[a]) * np.linalg.norm(v[b])]
+    assert len(links) >= 40
+    want = Counter(x for link in links for x in link)
+    got = Counter()
+    for r in op4_pigeonhole.links(reps, 0.95).where("b is null").collect():
+        got[r["a"]] += r["links"]
+    assert got == want
+
+
 def test_top_k(spark):
     """Repeated ids and rows, rows without id, ties, huge and short vectors."""
     import numpy as np
