@@ -21,7 +21,7 @@ before the next. So the disk that the join takes does not grow with the number o
 tiles. The number of compared pairs still grows with the square of the rows where
 vectors are spread evenly.
 
-Equal vectors are one row from the start; a common vector costs nothing. Vectors that
+Equal vectors (told by their SHA-256) are one row from the start; a common vector costs nothing. Vectors that
 are null, empty, zero, or hold null or non-finite components link with nothing: no
 links, a component of their own. Vectors of different length are never linked.
 Every vector is scaled by its largest component before its norm is taken, so that no
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from ._common import dropped, stored, stored_parts, table, tuned
 from ._components import components, forest
+from ._repeats import digest
 
 WIDTH, TILE, AT_ONCE = 8, 8192, 512
 #: Copies of a row in a round of pairs of tiles, at least; bytes of a round that are small enough for more.
@@ -59,19 +60,19 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def unpack(column) -> np.ndarray:
-    """Packed doubles, all of one length, as the rows of a matrix."""
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def unpack(column, kind: type = np.float64) -> np.ndarray:
+    """Packed numbers, as many in each, as the rows of a matrix of doubles."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
-def packed(vectors: DataFrame) -> DataFrame:
-    """id and the vector as packed doubles; null if it links with nothing."""
+def packed(vectors: DataFrame, kind: type) -> DataFrame:
+    """id and the vector as packed numbers; null if it links with nothing."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
             for v in b.column("v").to_pylist():
-                x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
+                x = None if v is None else np.array([np.nan if c is None else c for c in v], kind)
                 ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
                 out.append((x + 0.0).tobytes() if ok else None)  # no negative zeros: equal vectors have equal bytes
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "v"])
@@ -129,10 +130,10 @@ def joined(p: np.ndarray, q: np.ndarray, up: np.ndarray) -> list[tuple[int, int]
             up[:] = up[up]
 
 
-def links_of_tile(g: pd.DataFrame, t: float) -> pd.DataFrame:
+def links_of_tile(g: pd.DataFrame, t: float, kind: type = np.float64) -> pd.DataFrame:
     """Links of one pair of tiles: (node, null, links) for each vector, and (a, b, 0) of a forest with the components of the links."""
     side = g["side"].to_numpy()
-    u, node, copies = unit(unpack(g["v"])), g["node"].to_numpy(), g["copies"].to_numpy()
+    u, node, copies = unit(unpack(g["v"], kind)), g["node"].to_numpy(), g["copies"].to_numpy()
     x = u @ rotation(u.shape[1])
     twice = bool((side == BOTH).any())
     first, second = np.flatnonzero(side != SECOND), np.flatnonzero(side != FIRST)
@@ -187,22 +188,25 @@ def rounds(reps: DataFrame) -> Iterator[DataFrame]:
     dropped(tiles)
 
 
-def links(reps: DataFrame, t: float) -> DataFrame:
+def links(reps: DataFrame, t: float, kind: type = np.float64) -> DataFrame:
     """Parts of the number of links of each node, and a graph with the components of the links; see ``links_of_tile``. Stored."""
     schema = "a long, b long, links long"
-    return stored_parts(reps.sparkSession, (r.groupBy("d", "i", "j").applyInPandas(lambda g: links_of_tile(g, t), schema) for r in rounds(reps)), "op4")
+    return stored_parts(reps.sparkSession, (r.groupBy("d", "i", "j").applyInPandas(lambda g: links_of_tile(g, t, kind), schema) for r in rounds(reps)), "op4")
 
 
 def near_duplicates(vectors: DataFrame, t: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     tuned(vectors.sparkSession)
-    rows = stored(packed(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))), "op4v")
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    # Floats stay floats on disk; all that is computed is doubles.
+    kind = np.float32 if dict(vectors.dtypes)[vec_col] == "array<float>" else np.float64
+    rows = packed(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), kind)
+    rows = stored(rows.withColumn("digest", digest(F.col("v"))), "op4v")
+    classes = rows.where("v is not null").groupBy("digest").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "op4c")
     # From here on vectors are moved only to their pairs of tiles.
-    ids = stored(rows.join(classes.select("v", "node"), "v", "left").select("id", "node"), "op4i")
+    ids = stored(rows.select("id", "digest").join(classes.select("digest", "node"), "digest", "left").select("id", "node"), "op4i")
     dropped(rows)
-    found = links(classes, t)
+    found = links(classes, t, kind)
     n_links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
     root = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"component": "root"})
     named = classes.select("node", "rep", "copies").join(root, "node", "left").join(n_links, "node", "left")
