@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,16 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The same batches; at their end, memory that this Python worker has freed goes back to the system, as it waits for its next task."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

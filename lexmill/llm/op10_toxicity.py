@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ._common import dropped, held_out_column, stored, table, tuned
+from ._common import dropped, held_out_column, stored, table, trimmed, tuned
 from ._repeats import bitmap, has_ids, hashed_ids, ids_of
 
 MAX_TRAIN, FOLDS, CLEAN_LOSS = 6_000, 4, 0.02
@@ -86,7 +86,7 @@ def only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             yield b.filter(pa.array(has_ids(own, ids_of(b.column("doc_id")))))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return texts.mapInArrow(known, "doc_id long, text string")
+    return texts.mapInArrow(lambda it: trimmed(known(it)), "doc_id long, text string")
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ class Model:
 
         drawn = stored(chosen.orderBy("h").limit(MAX_TRAIN), "op10s")
         sample = with_text(docs, drawn).select("h", "toxic", fold().cast("int").alias("fold"), "text")
-        rows = sorted((r["h"], r["toxic"], r["counts"]) for r in sample.mapInPandas(measure, "h long, toxic int, counts array<long>").collect())
+        rows = sorted((r["h"], r["toxic"], r["counts"]) for r in sample.mapInPandas(lambda it: trimmed(measure(it)), "h long, toxic int, counts array<long>").collect())
         dropped(chosen, words, drawn)
         self.y = np.array([t for _, t, _ in rows], float)
         counts = np.array([c for _, _, c in rows], float)
@@ -308,7 +308,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     held = F.coalesce(held_out_column(), F.lit(False)).alias("held_out")
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held)
-    return cols.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return cols.mapInArrow(lambda it: trimmed(run(it)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in it:
             yield b.filter(pa.array(score(model, b.column("text").to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda it: trimmed(run(it)), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import dropped, mix64, stored, table, tuned, utf8
+from ._common import dropped, mix64, stored, table, trimmed, tuned, utf8
 from ._components import components, forest
 from ._hashes import Words, batches, windows
 from ._repeats import Known, bitmap, has_ids, hashed_ids, ids_of, signed
@@ -126,7 +126,7 @@ def sets_of(docs: DataFrame, words: int, limits: Limits) -> DataFrame:
             n, d1, d2, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield batch("doc_id h n d1 d2 prefix", b.column("doc_id"), b.column("h"), *(pa.array(c, pa.int64()) for c in (n, d1, d2)), pa.array(prefix, pa.binary()))
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long, prefix binary")
+    return docs.mapInArrow(lambda it: trimmed(run(it)), "doc_id long, h long, n long, d1 long, d2 long, prefix binary")
 
 
 def tokens_of(reps: DataFrame, seen: Known | None = None) -> DataFrame:
@@ -142,7 +142,7 @@ def tokens_of(reps: DataFrame, seen: Known | None = None) -> DataFrame:
             keep = known.has(t) if known else slice(None)
             yield batch("hash id n", signed(t[keep]), of[keep], n[keep])
 
-    return reps.select("id", "n", "prefix").mapInArrow(run, "hash long, id long, n long")
+    return reps.select("id", "n", "prefix").mapInArrow(lambda it: trimmed(run(it)), "hash long, id long, n long")
 
 
 def whole_sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def whole_sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
             n, d1, d2 = zip(*rows, strict=True) if rows else ((), (), ())
             yield batch("n d1 d2 tokens", *(pa.array(c, pa.int64()) for c in (n, d1, d2)), pa.array([*rows.values()], pa.binary()))
 
-    found = docs.mapInArrow(run, "n long, d1 long, d2 long, tokens binary")
+    found = docs.mapInArrow(lambda it: trimmed(run(it)), "n long, d1 long, d2 long, tokens binary")
     # Dealt by what they are joined by, so that sets are moved once.
     found = found.groupBy("n", "d1", "d2").agg(F.first("tokens").alias("tokens"))
     return found.join(involved.select("id", "n", "d1", "d2"), ["n", "d1", "d2"]).select("id", "n", "tokens")
@@ -186,7 +186,7 @@ def combinations(sets: DataFrame, limits: Limits) -> DataFrame:
                 sizes.append(len(own))
             yield batch("sig id", signed(np.concatenate(sigs)), np.repeat(ids_of(b.column("id")), sizes))
 
-    return sets.select("id", "tokens").mapInArrow(run, "sig long, id long")
+    return sets.select("id", "tokens").mapInArrow(lambda it: trimmed(run(it)), "sig long, id long")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides], pa.bool_()))
 
     ta, tb = (whole.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: trimmed(run(it)), "a long, b long")
 
 
 def compared(narrow: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
