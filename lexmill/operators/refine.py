@@ -70,7 +70,8 @@ def greedy(parts: Column, by: str, most: int) -> Column:
 
 
 def split_oversize(blocks: DataFrame, most: int = ChunkConfig.most) -> DataFrame:
-    """Blocks over ``most`` tokens cut at paragraphs, what is still over it at sentences, then after every ``most // 4`` words.
+    """Blocks over ``most`` tokens cut at paragraphs, what is still over it at sentences, then after every ``most // 4`` words,
+    and runs of words so long that even these are over it wherever the next word would lift a piece over it. A word is never cut.
 
     Adds ``piece`` (0 to n - 1 in a block), ``tokens`` and ``is_split``; other columns of ``blocks`` (text among them) stay.
     """
@@ -85,6 +86,7 @@ def split_oversize(blocks: DataFrame, most: int = ChunkConfig.most) -> DataFrame
     pieces = cut(F.col("text"), lambda t: greedy(F.filter(F.split(t, "\n\n"), lambda p: p.rlike(r"\S")), "\n\n", most))
     pieces = F.flatten(F.transform(pieces, lambda p: cut(p, lambda t: greedy(sentences(t), " ", most))))
     pieces = F.flatten(F.transform(pieces, lambda p: cut(p, lambda t: let(words(t), by_words))))
+    pieces = F.flatten(F.transform(pieces, lambda p: cut(p, lambda t: greedy(words(t), " ", most))))
     rest = [c for c in blocks.columns if c not in ("text", "tokens")]
     each = blocks.select(*rest, F.size(pieces).alias("n_pieces"), F.posexplode(pieces).alias("piece", "text"))
     return each.withColumn("tokens", token_estimate(F.col("text"))).withColumn("is_split", F.col("n_pieces") > 1).drop("n_pieces")
