@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 from ..functions.text import let, words
+from .nearest import best_of
 
 #: Which collections each agent searches; general searches all.
 ROUTES = {
@@ -45,23 +51,38 @@ def in_query_blocks(queries: DataFrame) -> list[DataFrame]:
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k rows of the highest cosine for each query (and each value of ``by``).
+    """The k rows of the highest cosine for each query (and each value of ``by``), with ``semantic`` and ``rank``.
 
-    ``queries``: query_id, qv[, agent]; ``rows``: id, v, and what else is wanted.
-    A stated set of queries against all rows: every block of queries is broadcast
-    and each task keeps k rows a query, because the window's limit is pushed below
-    its shuffle. Ties go to the smaller id.
+    ``queries``: query_id, qv[, agent]; ``rows``: id (a whole number), v, and what else is wanted.
+    A stated set of queries against all rows. Every block of queries is broadcast; a task multiplies it with tiles of
+    its rows, as matrices, and keeps k rows a query, however many rows it has. The products only tell which rows may be
+    among the best; their cosines are computed like ``vectors.cosine``. Cosines are compared by nine digits, ties go to
+    the smaller id, rows without a cosine come last. There is one task a core, so the shuffle grows with the queries only.
     """
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    split = ("collection",) if "agent" in queries.columns and "collection" in rows.columns else ()
+    found = {f.name: f for f in [*queries.schema.fields, *rows.schema.fields]}
+    names = [*(c for c in rows.columns if c != "v"), *(c for c in queries.columns if c != "qv")]
+    kind = StructType([*(StructField(c, found[c].dataType) for c in names), StructField("semantic", DoubleType()), StructField("_key", DoubleType())])
     out = None
     for q in in_query_blocks(queries):
-        pairs = rows.crossJoin(F.broadcast(q))
-        if "agent" in q.columns and "collection" in rows.columns:
-            pairs = pairs.where(routed(F.col("agent"), F.col("collection")))
-        scored = pairs.withColumn("semantic", V.cosine(F.col("qv"), F.col("v"))).drop("qv", "v")
-        w = Window.partitionBy("query_id", *by).orderBy(F.desc("semantic"), "id")
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+        asked = q.sparkSession.sparkContext.broadcast(q.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            table = asked.value
+            agents = [a and a.lower() for a in table["agent"].to_pylist()] if split else None
+
+            def may(group: tuple) -> np.ndarray:
+                return np.array([i for i in range(len(table)) if not split or agents[i] not in ROUTES or group[-1] in ROUTES[agents[i]]], np.int64)
+
+            best = best_of(batches, table, k, by, split, may)
+            if best is not None:
+                yield from best.select(names + ["semantic", "_key"]).to_batches()
+
+        one = rows.mapInArrow(run, kind)
+        out = one if out is None else out.unionByName(one)
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("_key"), F.asc_nulls_last("id"))
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_key")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..functions.text import words
 from ..operators import search as S
 from ..operators.chunking import boundary_scores
+from ..session import spread
 from .registry import query
 from .text_queries import docs
 
@@ -27,6 +28,11 @@ def asked(spark, d):
     return embeddings(spark, d).where(F.col("vec_id") % ASKS == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
 
 
+def vectors(spark, d, *cols):
+    """All rows as id and v, over all cores."""
+    return spread(embeddings(spark, d)).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), *cols)
+
+
 PAIRS = f"""SELECT q.vec_id AS query_id, e.vec_id AS id, {COLLECTION.format(k='e.vec_id')} AS collection, {COS.format(a='q.embedding', b='e.embedding')} AS semantic
  FROM embeddings q, embeddings e WHERE q.vec_id % {ASKS} = 0"""
 
@@ -36,7 +42,7 @@ PAIRS = f"""SELECT q.vec_id AS query_id, e.vec_id AS id, {COLLECTION.format(k='e
     f"SELECT query_id, id, rank, round(semantic, 4) AS semantic FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC, id)::INT AS rank FROM ({PAIRS})) WHERE rank <= 10",
 )
 def cosine_topk(spark, d):
-    rows = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = vectors(spark, d)
     return S.nearest(asked(spark, d), rows, 10).select("query_id", "id", "rank", F.round("semantic", 4).alias("semantic"))
 
 
@@ -45,7 +51,7 @@ def cosine_topk(spark, d):
     f"SELECT query_id, collection, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(semantic, 9) DESC, id)::INT AS rank FROM ({PAIRS})) WHERE rank <= 3",
 )
 def topk_per_collection(spark, d):
-    rows = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), S.collection_of(F.col("vec_id")).alias("collection"))
+    rows = vectors(spark, d, S.collection_of(F.col("vec_id")).alias("collection"))
     return S.nearest(asked(spark, d), rows, 3, ("collection",)).select("query_id", "collection", "id", "rank")
 
 
@@ -60,7 +66,7 @@ ROUTE = "CASE agent " + " ".join(f"WHEN '{a}' THEN collection IN ({', '.join(rep
 )
 def routed_search(spark, d):
     agent = F.element_at(F.array(*map(F.lit, AGENTS)), ((F.col("query_id") / ASKS).cast("long") % len(AGENTS)).cast("int") + 1)
-    rows = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), S.collection_of(F.col("vec_id")).alias("collection"))
+    rows = vectors(spark, d, S.collection_of(F.col("vec_id")).alias("collection"))
     return S.nearest(asked(spark, d).withColumn("agent", agent), rows, 5).select("query_id", "agent", "id", "rank")
 
 
@@ -128,14 +134,14 @@ def bm25_corpus(spark, d):
     SELECT query_id, count(*) AS n, round(avg(semantic), 4) AS mean_score, round(var_pop(semantic), 4) AS var_score, round(stddev_pop(semantic), 4) AS std_score, count(DISTINCT collection) AS collections FROM r GROUP BY 1""",
 )
 def search_quality(spark, d):
-    rows = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), S.collection_of(F.col("vec_id")).alias("collection"))
+    rows = vectors(spark, d, S.collection_of(F.col("vec_id")).alias("collection"))
     return S.search_quality(S.nearest(asked(spark, d), rows, 10).withColumnRenamed("semantic", "score"))
 
 
 @query("softmax_rank", f"""SELECT query_id, id, round(exp(semantic - max(semantic) OVER w) / sum(exp(semantic)) OVER w * exp(max(semantic) OVER w), 4) AS p FROM
  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC, id) AS rank FROM ({PAIRS})) WHERE rank <= 10) WINDOW w AS (PARTITION BY query_id)""")
 def softmax_rank(spark, d):
-    rows = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = vectors(spark, d)
     best = S.nearest(asked(spark, d), rows, 10)
     return best.select("query_id", "id", F.round(V.softmax(F.col("semantic"), "query_id"), 4).alias("p"))
 
@@ -155,7 +161,7 @@ def seq_cosine_distance(spark, d):
 
 @query("diversify")
 def diversify(spark, d):
-    rows = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = vectors(spark, d)
     best = S.nearest(asked(spark, d), rows, 20).join(rows, "id")
     page = best.select("query_id", "rank", "id", (F.col("id") / 10).cast("long").alias("doc_id"), (F.col("id") % 10).cast("int").alias("page"), "v")
     return S.diversified(page, 10)
