@@ -12,23 +12,45 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 
-#: A model takes texts and returns a matrix with a row for each.
+#: A model takes texts and returns a matrix with a row for each. It may have ``windows(words, spans)``, the same for overlapping runs of words.
 Model = Callable[[list[str]], np.ndarray]
 
 
 def hashed_model(dim: int = 384) -> Model:
     """Signed hashed counts of words and word pairs, of unit length: no model file, the same on every machine."""
 
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            w = t.lower().split()
-            for x in [*w, *map(" ".join, zip(w, w[1:], strict=False))]:
-                h = xxhash.xxh64_intdigest(x)
-                out[i, h % dim] += 1.0 if h >> 63 else -1.0
+    def places(xs: list[str]) -> np.ndarray:
+        """Where words or pairs count: twice their column, plus one where they count negatively."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, xs), np.uint64, len(xs))
+        return (h % np.uint64(dim) * np.uint64(2) + (np.uint64(1) - (h >> np.uint64(63)))).astype(np.int64)
+
+    def pairs(w: list[str]) -> list[str]:
+        return list(map(" ".join, zip(w, w[1:], strict=False)))
+
+    def unit(at: np.ndarray, rows: int) -> np.ndarray:
+        n = np.bincount(at, minlength=rows * 2 * dim).reshape(rows, dim, 2)
+        out = (n[:, :, 0] - n[:, :, 1]).astype(np.float64)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length == 0, 1, length)
 
+    def encode(texts: list[str]) -> np.ndarray:
+        found, sizes = [], []
+        for t in texts:
+            w = t.lower().split()
+            found += w
+            found += pairs(w)
+            sizes.append(max(0, 2 * len(w) - 1))
+        return unit(np.repeat(np.arange(len(texts)) * 2 * dim, sizes) + places(found), len(texts))
+
+    def windows(words: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
+        """The same of runs of words (first, one past the last) that overlap: each word and pair is looked up once."""
+        w = " ".join(words).lower().split()
+        one, two = places(w), places(pairs(w))
+        parts = [x for a, b in spans for x in (one[a:b], two[a : b - 1])]
+        sizes = [2 * (b - a) - 1 for a, b in spans]
+        return unit(np.repeat(np.arange(len(spans)) * 2 * dim, sizes) + np.concatenate(parts), len(spans))
+
+    encode.windows = windows
     return encode
 
 

@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
-from ..functions.text import let, sentences, token_estimate, words
+from ..functions.text import let, token_estimate
 from .chunking import even_cuts, spaced_peaks, text_at_cuts, window_words
 from .embedding import Model, hashed_model
 
 # --- Fixed values: weights that decide results. -----------------------------------------------------------------
 PENALTIES = {"code": 0.3, "table": 0.4, "figure": 0.5, "quote": 0.6}
 BONUSES = {"heading": 1.4, "list_start": 1.1, "paragraph_end": 1.05}
+#: White space as in the JVM's patterns: ASCII only.
+WORD, SENTENCE = re.compile(r"\S+", re.ASCII), re.compile(r"(?<=[.!?])\s+", re.ASCII)
 # --------------------------------------------------------------------------------------------------------------
 
 
@@ -54,19 +56,36 @@ def section_paths(blocks: DataFrame) -> DataFrame:
     return heads.select("doc_id", F.inline(F.aggregate("h", start, step, lambda s: s["out"])))
 
 
-def greedy(parts: Column, by: str, most: int) -> Column:
-    """Neighbouring parts joined while they have at most so many tokens."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"))
+def estimate(text: str) -> int:
+    """``functions.text.token_estimate`` of a string."""
+    n = len(WORD.findall(text))
+    return max(1, int((n * 1.3 + len(text) / 4) / 2)) if text else 0
 
-    def step(s: Column, x: Column) -> Column:
-        def put(joined: Column) -> Column:
-            fits = s["cur"].isNull() | (token_estimate(joined) <= most)
-            out = F.when(fits, s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"])))
-            return F.struct(out.alias("out"), F.when(fits, joined).otherwise(x).alias("cur"))
 
-        return let(F.concat_ws(by, s["cur"], x), put)
+def greedy(parts: list[str], by: str, most: int) -> list[str]:
+    """Neighbouring parts joined while they have at most so many tokens."""
+    out, cur, n, size = [], [], 0, 0
+    for x in parts:
+        # Parts meet at white space, so the words of what is joined add up.
+        words, chars = n + len(WORD.findall(x)), size + len(by) * bool(cur) + len(x)
+        if cur and max(1, int((words * 1.3 + chars / 4) / 2)) > most:
+            out.append(by.join(cur))
+            cur, words, chars = [], words - n, len(x)
+        cur.append(x)
+        n, size = words, chars
+    return [*out, by.join(cur)] if cur else out
+
+
+def oversize_pieces(text: str, most: int) -> list[str]:
+    per = most // 4
+
+    def cut(texts: list[str], how: Callable[[str], list[str]]) -> list[str]:
+        return [p for t in texts for p in ([t] if estimate(t) <= most else how(t))]
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["cur"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"]))))
+    pieces = cut([text], lambda t: greedy([p for p in t.split("\n\n") if WORD.search(p)], "\n\n", most))
+    pieces = cut(pieces, lambda t: greedy(SENTENCE.split(t), " ", most))
+    pieces = cut(pieces, lambda t: [" ".join(w[i : i + per]) for w in [WORD.findall(t)] for i in range(0, len(w), per)])
+    return cut(pieces, lambda t: greedy(WORD.findall(t), " ", most))
 
 
 def split_oversize(blocks: DataFrame, most: int = ChunkConfig.most) -> DataFrame:
@@ -74,21 +93,17 @@ def split_oversize(blocks: DataFrame, most: int = ChunkConfig.most) -> DataFrame
     and runs of words so long that even these are over it wherever the next word would lift a piece over it. A word is never cut.
 
     Adds ``piece`` (0 to n - 1 in a block), ``tokens`` and ``is_split``; other columns of ``blocks`` (text among them) stay.
+    Only texts over the limit go through Python, in Arrow batches.
     """
-    per = most // 4
 
-    def by_words(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w), F.lit(per)), lambda i: F.array_join(F.slice(w, i, F.lit(per)), " "))
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else oversize_pieces(t, most))
 
-    def cut(text: Column, how: Callable[[Column], Column]) -> Column:
-        return F.when(token_estimate(text) <= most, F.array(text)).otherwise(how(text))
-
-    pieces = cut(F.col("text"), lambda t: greedy(F.filter(F.split(t, "\n\n"), lambda p: p.rlike(r"\S")), "\n\n", most))
-    pieces = F.flatten(F.transform(pieces, lambda p: cut(p, lambda t: greedy(sentences(t), " ", most))))
-    pieces = F.flatten(F.transform(pieces, lambda p: cut(p, lambda t: let(words(t), by_words))))
-    pieces = F.flatten(F.transform(pieces, lambda p: cut(p, lambda t: greedy(words(t), " ", most))))
+    over = token_estimate(F.col("text")) > most
+    pieces = F.coalesce(cut(F.when(over, F.col("text"))), F.array("text"))
     rest = [c for c in blocks.columns if c not in ("text", "tokens")]
-    each = blocks.select(*rest, F.size(pieces).alias("n_pieces"), F.posexplode(pieces).alias("piece", "text"))
+    each = blocks.select(*rest, pieces.alias("_pieces")).select(*rest, F.size("_pieces").alias("n_pieces"), F.posexplode("_pieces").alias("piece", "text"))
     return each.withColumn("tokens", token_estimate(F.col("text"))).withColumn("is_split", F.col("n_pieces") > 1).drop("n_pieces")
 
 
@@ -125,10 +140,11 @@ def token_windows(text: str, size: int, step: int) -> list[str]:
 
 def boundaries(text: str, model: Model, c: ChunkConfig, smooth: int = 5) -> list[int]:
     """Token positions where the meaning turns: peaks of the smoothed distance of neighbouring windows, weighed by their contexts."""
-    windows = token_windows(text, c.window, c.step)
-    if len(windows) < 3:
+    w = text.split()
+    spans = window_words(w, c.window, c.step)
+    if len(spans) < 3:
         return []
-    v = model(windows)
+    v = model.windows(w, spans) if hasattr(model, "windows") else model([" ".join(w[a:b]) for a, b in spans])
     length = np.linalg.norm(v, axis=1)
     dist = 1 - (v[:-1] * v[1:]).sum(1) / np.maximum(length[:-1] * length[1:], 1e-12)
     x = np.convolve(dist, np.ones(smooth) / smooth, "same") if len(dist) > smooth else dist
