@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentence_count, stripped, words
+from ..functions.text import let, sentence_count, stripped, words
 
 
 def bleu(reference: str, answer: str, most: int = 4) -> float:
@@ -86,22 +86,24 @@ def extraction_status(score: Column, ok: float = 0.8, warn: float = 0.6) -> Colu
 
 def chunk_flags(text: Column, stop: tuple[str, ...], least: int = 400, most: int = 1200) -> Column:
     """What is wrong with a chunk, as an array of names."""
-    t = stripped(F.coalesce(text, F.lit("")))
-    w = words(F.lower(t))
-    n = F.size(w)
-    stops = F.coalesce(F.try_divide(F.size(F.filter(w, lambda x: x.isin(*stop))), n), F.lit(1.0))
-    alpha = F.coalesce(F.try_divide(F.regexp_count(t, F.lit(r"\p{L}")), F.length(t)), F.lit(0.0))
-    return F.array_compact(
-        F.array(
-            F.when(n == 0, "empty"),
-            F.when(n < least, "too_short"),
-            F.when(n > most, "too_long"),
-            F.when((t != "") & ~t.rlike(r"^[\p{Lu}0-9]"), "start_mid_sentence"),
-            F.when((t != "") & ~t.rlike(r"[.!?…:;]['\")\]]?$"), "end_mid_sentence"),
-            F.when((stops > 0.88) & (n >= 12), "mostly_stopwords"),
-            F.when((alpha < 0.45) & (F.length(t) >= 40), "low_alpha_ratio"),
+    def of(c: Column) -> Column:
+        t, w = c["t"], c["w"]
+        n = F.size(w)
+        stops = F.coalesce(F.try_divide(F.size(F.filter(w, lambda x: x.isin(*stop))), n), F.lit(1.0))
+        alpha = F.coalesce(F.try_divide(F.length(F.regexp_replace(t, r"\P{L}+", "")), F.length(t)), F.lit(0.0))
+        return F.array_compact(
+            F.array(
+                F.when(n == 0, "empty"),
+                F.when(n < least, "too_short"),
+                F.when(n > most, "too_long"),
+                F.when((t != "") & ~t.rlike(r"^[\p{Lu}0-9]"), "start_mid_sentence"),
+                F.when((t != "") & ~t.rlike(r"[.!?…:;]['\")\]]?$"), "end_mid_sentence"),
+                F.when((n >= 12) & (stops > 0.88), "mostly_stopwords"),
+                F.when((F.length(t) >= 40) & (alpha < 0.45), "low_alpha_ratio"),
+            )
         )
-    )
+
+    return let(stripped(F.coalesce(text, F.lit(""))), lambda t: let(F.struct(t.alias("t"), words(F.lower(t)).alias("w")), of))
 
 
 def chunk_status(flags: Column, duplicate: Column) -> Column:
