@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, token_estimate
+from ..functions.text import let, sentences, token_estimate
 
 TARGET, LEAST, MOST = 200, 100, 256
 
@@ -98,15 +98,20 @@ def with_overlap(chunks: DataFrame, ratio: float = 0.18) -> DataFrame:
         start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(True).alias("on"))
 
         def take(s, x):
-            more = s["n"] + token_estimate(x)
-            ok = s["on"] & (more <= room)
-            return F.struct(F.when(ok, F.concat_ws(" ", x, F.nullif(s["t"], F.lit("")))).otherwise(s["t"]).alias("t"), F.when(ok, more).otherwise(s["n"]).alias("n"), ok.alias("on"))
-
-        tail = F.aggregate(F.reverse(sentences(F.coalesce(before, F.lit("")))), start, take)["t"]
-        has = before.isNotNull() & (tail != "")
-        text = F.when(has, F.concat(tail, F.lit("\n\n"), c["content"])).otherwise(c["content"])
-        new = F.struct(c["chunk_id"].alias("chunk_id"), text.alias("content"), token_estimate(text).alias("chunk_tokens"), has.alias("overlap_applied"))
-        return F.concat(out, F.array(new))
+            def put(more):
+                ok = F.coalesce(more <= room, F.lit(False))
+                return F.struct(F.when(ok, F.concat_ws(" ", x, F.nullif(s["t"], F.lit("")))).otherwise(s["t"]).alias("t"), F.when(ok, more).otherwise(s["n"]).alias("n"), ok.alias("on"))
+
+            return let(F.when(s["on"], s["n"] + token_estimate(x)), put)
+
+        def added(tail):
+            def row(text):
+                return F.struct(c["chunk_id"].alias("chunk_id"), text.alias("content"), token_estimate(text).alias("chunk_tokens"), (tail != "").alias("overlap_applied"))
+
+            return F.concat(out, F.array(let(F.when(tail != "", F.concat(tail, F.lit("\n\n"), c["content"])).otherwise(c["content"]), row)))
+
+        # Nothing before, nothing to carry.
+        return let(F.aggregate(F.reverse(sentences(F.coalesce(before, F.lit("")))), start, take)["t"], added)
 
     folded = chunks.groupBy("doc_id").agg(F.aggregate(ordered, F.array().cast(kind), step).alias("c"))
     return folded.select("doc_id", F.inline("c"))
