@@ -6,6 +6,10 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
+#: The factor of the sum over terms in the keyword score.
+KEYWORD = 0.27465307216702745
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -46,7 +50,7 @@ def keyword_score_compat(query_terms: Column, tokens: Column) -> Column:
 
 def keyword_score_of(total: Column) -> Column:
     """The keyword score of a sum over the query's terms of 2.5 f / (f + 1.5), f being how often a term occurs."""
-    return 1 / (1 + F.exp(total * 0.27465307216702745))
+    return 1 / (1 + F.exp(total * KEYWORD))
 
 
 def hybrid(semantic: Column, keyword: Column, alpha: float = 0.7) -> Column:

@@ -68,6 +68,18 @@ def embedded(df: DataFrame, key: str, text: str, make: Callable[[], Model] = has
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>")
 
 
+def vector_of(text: Column, make: Callable[[], Model] = hashed_model) -> Column:
+    """The vector of a text as a column: not computed where it is not used."""
+
+    @F.pandas_udf("array<float>")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for texts in it:
+            yield pd.Series(list(model(texts.fillna("").tolist()).astype(np.float32)), index=texts.index, dtype=object)
+
+    return run(text)
+
+
 def expanded_terms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """query_id and its terms with their synonyms, distinct and sorted. ``synonyms``: term, synonym."""
     terms = queries.select("query_id", F.explode("terms").alias("term"))

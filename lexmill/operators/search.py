@@ -12,7 +12,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 from ..functions.text import let, words
-from .nearest import best_of
+from .keywords import Asked, all_blocks, best_documents, rounded
+from .nearest import Products, Vectors, best_of
 
 #: Which collections each agent searches; general searches all.
 ROUTES = {
@@ -85,27 +86,26 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, by: tuple[str, ...] = (
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_key")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Corpus BM25: query_id, doc_id, score of all documents with a query term.
+def hybrid_best(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The k rows of the highest hybrid score (by nine digits) for each query: query_id, doc_id, semantic, keyword, final, rank.
 
-    ``queries``: query_id, terms (array); ``docs``: doc_id, text. The terms of the
-    queries are joined before anything is counted, so only their postings are kept.
+    ``queries``: query_id, terms, qv; ``rows``: doc_id, w (words), v. All rows are scored, those without a vector or a hit
+    too, in one pass; a task keeps k rows a query.
     """
-    tokens = docs.select("doc_id", F.lower("text").alias("t")).select("doc_id", words(F.col("t")).alias("w"))
-    size = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_len"))
-    terms = queries.select("query_id", F.explode("terms").alias("term"))
-    vocabulary = terms.select("term").distinct()
-    postings = (
-        tokens.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-        .join(vocabulary, "term")
-        .groupBy("term", "doc_id")
-        .agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    )
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(size)).join(terms, "term")  # size is one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+
+    def one(asked: Asked) -> DataFrame:
+        vectors = Vectors(asked.table["qv"])
+
+        def combine(x: np.ndarray, tile: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+            semantic = Products(Vectors(tile["v"]), vectors, np.arange(vectors.n)).rough
+            semantic = np.where(np.isneginf(semantic), 0.0, np.where(np.isposinf(semantic), np.nan, semantic))
+            keyword = 1 / (1 + np.exp(x * V.KEYWORD))
+            final = semantic * 0.7 + np.minimum(keyword / 5, 1.0) * (1 - 0.7)
+            return rounded(final, 9), {"semantic": semantic, "keyword": keyword, "final": final}
+
+        return best_documents(rows, asked, k, ["semantic", "keyword", "final"], lambda text, term, tf, length: tf * 2.5 / (tf + 1.5), combine)
+
+    return all_blocks(queries, one)
 
 
 def staged(candidates: DataFrame, k: int, alpha: float = 0.7) -> DataFrame:

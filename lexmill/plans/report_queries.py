@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.text import words
 from ..operators import dedup as U
 from ..operators import search as S
+from ..operators.keywords import most_terms
 from .registry import query
 from .search_queries import COLLECTION, ITEM_TERMS, embeddings
 from .text_queries import STRIP, WORDS, docs
@@ -141,10 +142,7 @@ def suggestions(spark, d):
     """Each query's commonest other words of four letters or more in its five best results; of equals the one that comes first."""
     items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.array_distinct(words(F.lower("text"))).alias("terms"))
     w = docs(spark, d, "doc_id", words(F.lower("text")).alias("w"))
-    each = w.select("doc_id", F.explode(F.array_distinct("w")).alias("term"))
-    hits = each.join(items.select("item_id", F.explode("terms").alias("term")), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
-    best = Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
-    results = hits.withColumn("rank", F.row_number().over(best)).where("rank <= 5").join(w, "doc_id").join(items, "item_id")
+    results = most_terms(items.withColumnRenamed("item_id", "query_id"), w, 5).withColumnRenamed("query_id", "item_id").join(items, "item_id")
     at = results.select("item_id", "rank", "terms", F.posexplode("w").alias("pos", "term")).where((F.length("term") > 3) & ~F.array_contains("terms", F.col("term")))
     counts = at.groupBy("item_id", "term").agg(F.count("*").alias("n"), F.min(F.struct("rank", "pos")).alias("first"))
     order = Window.partitionBy("item_id").orderBy(F.desc("n"), "first")

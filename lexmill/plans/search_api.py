@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..functions.text import words
 from ..operators import search as S
 from ..operators.embedding import query_terms
+from ..operators.keywords import term_scores
 from ..operators.records import newest
 
 
@@ -27,18 +28,18 @@ def search(queries: DataFrame, index: DataFrame, k: int = 8, rerank: bool = True
     if filters is not None:
         index = index.where(filters)
     q = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("terms", query_terms(F.col("text"), c.max_query_chars))
-    rows = index.select("id", "collection", "v")
-    near = S.nearest(q.select("query_id", "qv", "agent"), rows, c.per_collection * k, ("collection",)).select("query_id", "id", "semantic")
+    rows = index.select("id", "collection", "v", F.col("v").cast("array<float>").alias("own_v"))
+    near = S.nearest(q.select("query_id", "qv", "agent"), rows, c.per_collection * k, ("collection",)).select("query_id", "id", "semantic", "own_v")
     body = near.join(index.select("id", "doc_id", "page", "collection", "content"), "id").join(q.select("query_id", "terms"), "query_id")
     body = body.withColumn("tokens", words(F.lower("content")))
-    scored = body.withColumn("keyword", V.keyword_score_compat(F.col("terms"), F.col("tokens"))).drop("tokens")
     if rerank:
-        bm25 = S.bm25(q.select("query_id", "terms"), index.select(F.col("id").alias("doc_id"), F.col("content").alias("text")))
-        bm25 = bm25.select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("rerank"))
-        scored = scored.join(bm25, ["query_id", "id"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
+        # Only rows that are near need their scores; the statistics are those of all.
+        x = term_scores(q.select("query_id", "terms"), index.select(words(F.lower("content")).alias("w")), F.col("terms"), F.col("tokens"))
+        scored = body.withColumn("x", x).withColumn("keyword", V.keyword_score_of(F.col("x.x"))).withColumn("rerank", F.col("x.bm25")).drop("tokens", "x")
     else:
+        scored = body.withColumn("keyword", V.keyword_score_compat(F.col("terms"), F.col("tokens"))).drop("tokens")
         scored = scored.withColumn("rerank", V.hybrid(F.col("semantic"), F.col("keyword"), c.alpha))
-    ranked = S.staged(scored, k, c.alpha).join(index.select("id", F.col("v").cast("array<float>").alias("v")), "id")
+    ranked = S.staged(scored, k, c.alpha).withColumnRenamed("own_v", "v")
     picked = ranked.select("query_id", "rank", "id", F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "v")
     best = S.diversified(picked, k, c.max_cosine, c.page_distance).drop("rank")
     out = best.join(ranked.drop("v", "rank"), ["query_id", "id"])

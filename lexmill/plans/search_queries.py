@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import words
 from ..operators import search as S
 from ..operators.chunking import boundary_scores
+from ..operators.keywords import bm25_best
 from ..session import spread
 from .registry import query
 from .text_queries import docs
@@ -89,27 +89,14 @@ HYBRID = rf"""WITH q AS (SELECT item_id AS query_id, {ITEM_TERMS} AS terms, embe
 def hybrid_search(spark, d):
     """Top 10 of all documents for each benchmark item (its whole text, and the vector of its number) by 0.7 of the cosine and 0.3 of the keyword score.
 
-    A stated query set against all rows. The keyword part comes from the postings of the queries' terms, counted
-    before they meet the queries; a document without a vector has no semantic score, one without a hit that of no hit.
+    A stated query set against all rows, in one pass over the documents; a document without a vector has no semantic
+    score, one without a hit that of no hit.
     """
     e = embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.array_distinct(words(F.lower("text"))).alias("terms"))
     q = items.join(e.select(F.col("doc_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-    all_docs = docs(spark, d, "doc_id", "text")
-    terms = q.select("query_id", F.explode("terms").alias("term"))
-    own = all_docs.select("doc_id", F.explode(words(F.lower("text"))).alias("term")).join(terms.select("term").distinct(), "term")
-    weight = F.col("tf") * 2.5 / (F.col("tf") + 1.5)
-    counts = own.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", weight.alias("x"))
-    hits = counts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("x").alias("x"))
-    rows = all_docs.select("doc_id").join(e, "doc_id", "left")
-    out = None
-    for block in S.in_query_blocks(q.select("query_id", "qv")):
-        near = rows.crossJoin(F.broadcast(block)).select("query_id", "doc_id", F.coalesce(V.cosine(F.col("qv"), F.col("v")), F.lit(0.0)).alias("semantic"))
-        out = near if out is None else out.unionByName(near)
-    p = out.join(hits, ["query_id", "doc_id"], "left").withColumn("keyword", V.keyword_score_of(F.coalesce("x", F.lit(0.0))))
-    p = p.withColumn("final", V.hybrid(F.col("semantic"), F.col("keyword")))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("final", 9)), "doc_id")
-    best = p.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    rows = docs(spark, d, "doc_id", "text").join(e, "doc_id", "left").select("doc_id", words(F.lower("text")).alias("w"), "v")
+    best = S.hybrid_best(q, rows, 10)
     return best.select("query_id", "doc_id", "rank", *[F.round(c, 4).alias(c) for c in ("semantic", "keyword", "final")])
 
 
@@ -123,8 +110,7 @@ def hybrid_search(spark, d):
 )
 def bm25_corpus(spark, d):
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.array_distinct(words(F.lower("text"))).alias("terms"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    s = S.bm25(items, docs(spark, d, "doc_id", "text")).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    s = bm25_best(items, docs(spark, d, "doc_id", words(F.lower("text")).alias("w")), 10)
     return s.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -191,7 +177,7 @@ def full_search(spark, d):
     """Every benchmark item as a query against all documents, with hashed vectors, routing by collection and reranking."""
     from functools import partial
 
-    from ..operators.embedding import embedded, hashed_model
+    from ..operators.embedding import embedded, hashed_model, vector_of
     from .search_api import search
 
     model = partial(hashed_model, 64)
@@ -199,5 +185,5 @@ def full_search(spark, d):
     items = spark.read.parquet(f"{d}/benchmark.parquet").withColumnRenamed("item_id", "query_id")
     q = items.select("query_id", "text", F.lit("general").alias("agent")).join(embedded(items, "query_id", "text", model).withColumnRenamed("vector", "qv"), "query_id")
     own = docs(spark, d, F.col("doc_id").alias("id"), "doc_id", F.lit(0).alias("page"), S.collection_of(F.col("doc_id")).alias("collection"), F.col("text").alias("content"))
-    index = own.join(embedded(own, "id", "content", model).withColumnRenamed("vector", "v"), "id")
+    index = own.withColumn("v", vector_of(F.col("content"), model))
     return search(q, index, 8).select("query_id", "place", "id", "collection", "matched_terms", "match_share", "doc_words")
