@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,35 @@ def within(left: DataFrame, right: DataFrame, by: str, ts: str, seconds: int) ->
 def in_bands(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     """Rows with the bands (low inclusive, high exclusive) they fall into; a table of bands is small, Spark decides how to send it."""
     return rows.join(bands, (F.col(value) >= F.col("low")) & (F.col(value) < F.col("high")))
+
+
+def ranks_of(rows: DataFrame, group: str, x: str, m: str) -> DataFrame:
+    """Where a group's value ``m`` stands among its ``x``: how many there are (n), are less (lt) and at most m (le), and the values next to it.
+
+    Counts, maxima and minima only: nothing is sorted or kept.
+    """
+    x, m = F.col(x), F.col(m)
+    when = lambda c: F.when(c, x)
+    return rows.groupBy(group).agg(
+        F.count(x).alias("n"), F.count_if(x < m).alias("lt"), F.count_if(x <= m).alias("le"), F.first(m).alias("m"),
+        F.max(when(x < m)).alias("below"), F.max(when(x <= m)).alias("upto"), F.min(when(x >= m)).alias("from"), F.min(when(x > m)).alias("above"),
+    )
+
+
+def _between(p: float, low: str, high: str) -> Column:
+    """The percentile p, if it lies between two neighbouring values."""
+    at = (F.col("n") - 1) * F.lit(p)
+    lower, higher = F.floor(at), F.ceil(at)
+    return F.when(lower == higher, F.col(low)).otherwise((higher - at) * F.col(low) + (at - lower) * F.col(high))
+
+
+def at_least(p: float) -> Column:
+    """Of ``ranks_of``: whether m is not less than the exact percentile p (interpolated)."""
+    at = (F.col("n") - 1) * F.lit(p)
+    return F.when(F.ceil(at) < F.col("le"), True).when(F.floor(at) >= F.col("le"), False).otherwise(F.col("m") >= _between(p, "upto", "above"))
+
+
+def at_most(p: float) -> Column:
+    """Of ``ranks_of``: whether m is not more than the exact percentile p (interpolated)."""
+    at = (F.col("n") - 1) * F.lit(p)
+    return F.when(F.floor(at) >= F.col("lt"), True).when(F.ceil(at) < F.col("lt"), False).otherwise(F.col("m") <= _between(p, "below", "from"))
