@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, words
@@ -39,17 +39,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.9, n: int = 3) -> Data
     of each share one, so only these are joined, and of them only those that occur twice. What
     many texts have in common comes last and is not joined at all. Sizes must fit as well.
     """
-    s = first_copies(docs).select("doc_id", shingles(F.col("text"), n).alias("s")).where(F.size("s") > 0)
-    each = s.select("doc_id", F.explode("s").alias("h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = each.join(counts, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t"))
-    size = F.size("t")
-    prefix = F.slice("t", F.lit(1), size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1)
-    tokens = ordered.select("doc_id", size.alias("n"), F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("x")).select("doc_id", "n", "x.h")
+    texts = first_copies(docs)
+    # Shingles once a text: a filter or a size beside them would compute them again.
+    own = let(shingles(F.col("text"), n), lambda s: F.transform(s, lambda h: F.struct(F.size(s).alias("n"), h.alias("h"))))
+    each = texts.select("doc_id", F.inline(own))
+    again = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    ordered = again.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t"))
+    # Those that occur once come first in the order, and are not here.
+    alone = F.col("n") - F.size("t")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
+    tokens = ordered.where(prefix > alone).select("doc_id", "n", F.explode(F.slice("t", F.lit(1), prefix - alone)).alias("x")).select("doc_id", "n", "x.h")
     b = tokens.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "h")
     a = tokens.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "h")
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
     pairs = a.join(b, "h").where(fits).select("a", "b").distinct()
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    s = texts.join(members, "doc_id", "left_semi").select("doc_id", shingles(F.col("text"), n).alias("s"))
     sa, sb = s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
     j = F.col("o") / (F.size("sa") + F.size("sb") - F.col("o"))
